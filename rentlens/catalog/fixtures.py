@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from rentlens.functions.features import PERIOD_COLUMNS, SIZE_COLUMNS
 from rentlens.functions.parsing import STATES
@@ -323,6 +324,10 @@ def oracle_text(body: str) -> str:
     return TABLE_MARK.sub(r"\1", text)
 
 
+# Schemas read once per file, so that later queries need no footer job.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     """The given tables and the fixtures derived from them, as lazy DataFrames."""
 
@@ -331,7 +336,10 @@ class Tables:
         self.sf_dir = sf_dir
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def sql(self, body: str) -> DataFrame:
         text = with_fixtures(body)

@@ -276,16 +276,14 @@ def g9(t):
 )
 def i2(t):
     matched = resolve.match_token_overlap(t.fx("places_listed"), t.fx("keymap"))
-    best = matched.where("GKZ is not null").select(
-        "plz5", "city_norm", F.col("GKZ").alias("AGS")
-    )
-    return best.distinct()
+    named = resolve.with_queries(matched.where("GKZ is not null"), hints=False)
+    return named.select("plz5", "city_norm", F.col("GKZ").alias("AGS")).distinct()
 
 
 @query("G10_match_fuzzy")
 def g10(t):
     matched = resolve.match_fuzzy(t.fx("places_listed"), t.fx("keymap"))
-    return matched.select("listing_id", "plz5", "city_norm", "GKZ")
+    return matched.select("listing_id", "geo_plz", "regio3", "GKZ")
 
 
 @query("G11_close_match")

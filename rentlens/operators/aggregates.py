@@ -24,9 +24,13 @@ def top_k(df: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
 
 
 def city_stats(df: DataFrame, rent: str = "rent_per_sqm") -> DataFrame:
-    """Listings and median rent per square metre of each city."""
-    stats = exact_quantiles(df, rent, {"immo_median": 0.5}, ["city", "city_norm"])
-    return stats.select("city", "city_norm", F.col("rows").alias("n"), "immo_median")
+    """Listings and median rent per square metre of each city.
+
+    The normalised name follows from the city, so it is made once per city.
+    """
+    stats = exact_quantiles(df, rent, {"immo_median": 0.5}, ["city"])
+    name = places.dashboard(F.col("city"))
+    return stats.select("city", name.alias("city_norm"), F.col("rows").alias("n"), "immo_median")
 
 
 def market_vs_census(stats: DataFrame, census: DataFrame, k: int = 20) -> DataFrame:

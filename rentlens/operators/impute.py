@@ -20,9 +20,11 @@ def most_frequent(df: DataFrame, column: str) -> DataFrame:
     return counts.orderBy(F.desc("count"), F.asc(column)).limit(1).select(column)
 
 
-def fill_mode(df: DataFrame, column: str, default: float = 0) -> DataFrame:
+def fill_mode(df: DataFrame, column: str, default: float | None = 0.0) -> DataFrame:
+    """Null cells take the most frequent value, ``default`` where there is none."""
     mode = most_frequent(df, column).scalar()
-    return df.withColumn(column, F.coalesce(F.col(column), mode, F.lit(default)))
+    rest = [] if default is None else [F.lit(default)]
+    return df.withColumn(column, F.coalesce(F.col(column), mode, *rest))
 
 
 def fill_mean(df: DataFrame, column: str) -> DataFrame:
@@ -30,6 +32,35 @@ def fill_mean(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), mean))
 
 
+def fill_mode_and_mean(
+    df: DataFrame, mode_column: str, mean_column: str, default: float | None = None
+) -> DataFrame:
+    """Both global fills from a single pass: means are summed per value of the mode column."""
+    per_value = df.groupBy(mode_column).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.sum(mean_column).alias("__sum"),
+        F.count(mean_column).alias("__known"),
+    )
+    most = F.min(
+        F.when(
+            F.col(mode_column).isNotNull(),
+            F.struct((-F.col("__rows")).alias("rank"), F.col(mode_column).alias("value")),
+        )
+    )
+    fills = per_value.agg(
+        most["value"].alias("mode"),
+        F.try_divide(F.sum("__sum"), F.sum("__known")).alias("mean"),
+    )
+    known = fills.select(F.struct("mode", "mean")).scalar()
+    mode = [known["mode"]] + ([F.lit(default)] if default is not None else [])
+    return df.withColumns(
+        {
+            mode_column: F.coalesce(F.col(mode_column), *mode),
+            mean_column: F.coalesce(F.col(mean_column), known["mean"]),
+        }
+    )
+
+
 def with_group_median(
     df: DataFrame, columns: list[str], group: str, prefix: str = "median_"
 ) -> DataFrame:

@@ -8,8 +8,10 @@ rows of those few keys are copied.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +55,36 @@ def lookup_joins(
     null_safe: bool = False,
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Several lookups on one big side, measured together in a single job."""
-    sizes = measured_bytes([right for right, _ in lookups])
-    for (right, on), size in zip(lookups, sizes):
+    """Several lookups on one big side, measured together in a single job.
+
+    The measured frames stay persisted (recomputable, on disk when memory is short), so
+    the join does not evaluate a broadcast side a second time.
+    """
+    kept = [right.persist(StorageLevel.MEMORY_AND_DISK) for right, _ in lookups]
+    for right, (_, on), size in zip(kept, lookups, measured_bytes(kept)):
         if size <= limit:
             left = _join(left, F.broadcast(right), on, how, null_safe)
         else:
+            right.unpersist()
             left = salted_join(left, right, on, how, null_safe=null_safe)
     return left
 
 
+def by_distinct(
+    df: DataFrame,
+    columns: list[str],
+    fn: Callable[[DataFrame], DataFrame],
+    limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """Apply ``fn`` once per distinct value combination and join its new columns back.
+
+    For work that depends on a few columns only, such as resolving place names: the
+    distinct combinations are far fewer than the rows and hold no hot key.
+    """
+    answers = fn(df.select(*columns).distinct())
+    return lookup_join(df, answers, columns, null_safe=True, limit=limit)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

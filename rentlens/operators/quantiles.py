@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +38,6 @@ def exact_quantiles(
         F.percentile_approx("__v", cuts, ACCURACY).alias("__cuts"),
     )
     if by:
-        sketch = sketch.persist(StorageLevel.MEMORY_AND_DISK)
         marked = lookup_join(rows, sketch, by, null_safe=True)
         totals = [F.max("__rows").alias("__rows"), F.max("__n").alias("__n")]
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,10 +13,10 @@ from rentlens.functions import text as tx
 from rentlens.operators.columns import load_zensus, pick_alias, quoted
 from rentlens.operators.joins import (
     BROADCAST_LIMIT,
+    by_distinct,
     first_row,
     lookup_join,
     lookup_joins,
-    measured_bytes,
 )
 from rentlens.operators.similarity import (
     close_match,
@@ -47,6 +48,12 @@ def plz_source(df: DataFrame) -> Column:
     return parsing.plz5(F.col(name)) if name else F.lit(None).cast("string")
 
 
+def place_columns(df: DataFrame, extra: list[str] | None = None) -> list[str]:
+    """The raw columns that place keys are made of."""
+    sources = [pick_alias(df.columns, names) for names in (PLZ_SOURCES, CITY_SOURCES)]
+    return list(dict.fromkeys([c for c in sources if c] + (extra or [])))
+
+
 def with_place_keys(df: DataFrame, variant: str) -> DataFrame:
     return df.withColumns(
         {"plz5": plz_source(df), "city_norm": places.normalize_place(city_source(df), variant)}
@@ -66,7 +73,7 @@ def unique_key_map(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def cascade(
-    listings: DataFrame,
+    df: DataFrame,
     steps: list[tuple[DataFrame, dict[str, str]]],
     value: str,
     out: str,
@@ -74,9 +81,8 @@ def cascade(
 ) -> DataFrame:
     """Fill ``out`` from several unique maps, the first hit wins.
 
-    Each step is a map and its columns as {listing column: map column}. Small maps are
-    broadcast onto the listings. When one is too large for that, the distinct key
-    combinations are resolved first and joined back, so the listings move only once.
+    Each step is a map and its columns as {own column: map column}. An ``out`` column that
+    is already there keeps its values and only its gaps are filled.
     """
     lookups = []
     for i, (table, on) in enumerate(steps):
@@ -85,22 +91,10 @@ def cascade(
             F.col(value).alias(f"__hit_{i}"),
         )
         lookups.append((named, list(on)))
-    hits = [F.col(f"__hit_{i}") for i in range(len(steps))]
-    known = [F.col(out)] if out in listings.columns else []
-    if max(measured_bytes([table for table, _ in lookups])) <= limit:
-        for table, on in lookups:
-            listings = listings.join(F.broadcast(table), on, "left")
-        return listings.withColumn(out, F.coalesce(*known, *hits)).drop(
-            *[f"__hit_{i}" for i in range(len(steps))]
-        )
-    keys = sorted({k for _, on in lookups for k in on})
-    resolved = (
-        lookup_joins(listings.select(*keys).distinct(), lookups, limit=limit)
-        .select(*keys, F.coalesce(*hits).alias("__found"))
-        .where(F.col("__found").isNotNull())
-    )
-    joined = lookup_join(listings, resolved, keys, null_safe=True, limit=limit)
-    return joined.withColumn(out, F.coalesce(*known, F.col("__found"))).drop("__found")
+    hits = [f"__hit_{i}" for i in range(len(steps))]
+    known = [out] if out in df.columns else []
+    joined = lookup_joins(df, lookups, limit=limit)
+    return joined.withColumn(out, F.coalesce(*known, *hits)).drop(*hits)
 
 
 def _name_steps(
@@ -139,10 +133,14 @@ def resolve_gkz_cascade(
     steps.append(
         (unique_key_map(fine, ["gemeinde_norm"], "AGS"), {"regio3_norm": "gemeinde_norm"})
     )
-    keyed = with_place_keys(listings, "cut_suffixes").withColumn(
-        "regio3_norm", places.letters_only(F.col("regio3"))
-    )
-    return cascade(keyed, steps, "AGS", out, limit)
+
+    def resolve(names: DataFrame) -> DataFrame:
+        keyed = with_place_keys(names, "cut_suffixes").withColumn(
+            "regio3_norm", places.letters_only(F.col("regio3"))
+        )
+        return cascade(keyed, steps, "AGS", out, limit)
+
+    return by_distinct(listings, place_columns(listings, ["regio3"]), resolve, limit)
 
 
 def resolve_ars_cascade(
@@ -151,7 +149,11 @@ def resolve_ars_cascade(
     """(PLZ, name), PLZ, name, place."""
     table = prepared_map(key_map, "nine_words").withColumn("ARS", tx.strip(F.col("ARS")))
     steps = _name_steps(table, "ARS", ["plz_name", "plz", "name", "place"])
-    return cascade(with_place_keys(listings, "nine_words"), steps, "ARS", out, limit)
+
+    def resolve(names: DataFrame) -> DataFrame:
+        return cascade(with_place_keys(names, "nine_words"), steps, "ARS", out, limit)
+
+    return by_distinct(listings, place_columns(listings), resolve, limit)
 
 
 def resolve_by_census_name(
@@ -163,14 +165,20 @@ def resolve_by_census_name(
         parsing.pad_key(F.col("GKZ"), 12).alias("GKZ"),
     )
     unique = unique_key_map(names, ["name_norm"], "GKZ")
-    keyed = listings.withColumns(
-        {
-            "__cand3": places.unique_census(F.col("regio3")),
-            "__cand2": places.unique_census(F.col("regio2")),
-        }
-    )
     steps = [(unique, {"__cand3": "name_norm"}), (unique, {"__cand2": "name_norm"})]
-    return cascade(keyed, steps, "GKZ", out, limit).drop("__cand3", "__cand2")
+
+    def resolve(combinations: DataFrame) -> DataFrame:
+        keyed = combinations.withColumns(
+            {
+                "__cand3": places.unique_census(F.col("regio3")),
+                "__cand2": places.unique_census(F.col("regio2")),
+            }
+        )
+        return cascade(keyed, steps, "GKZ", "__by_name", limit).drop("__cand3", "__cand2")
+
+    joined = by_distinct(listings, ["regio3", "regio2"], resolve, limit)
+    known = [out] if out in listings.columns else []
+    return joined.withColumn(out, F.coalesce(*known, "__by_name")).drop("__by_name")
 
 
 # --- name and state against the census ----------------------------------------------
@@ -189,33 +197,44 @@ def census_by_name_state(census: DataFrame, variant: str) -> DataFrame:
     return counted.where(F.col("__n") == 1).drop("__n")
 
 
-def join_name_state(listings: DataFrame, census: DataFrame) -> DataFrame:
-    keyed = listings.withColumns(
-        {
-            "name_clean": places.census_name(F.col("regio3")),
-            "state_code": parsing.state_code(F.col("regio1")),
-        }
-    )
-    return lookup_join(
-        keyed, census_by_name_state(census, "census_name"), ["name_clean", "state_code"]
-    )
+def join_name_state(
+    listings: DataFrame, census: DataFrame, limit: int = BROADCAST_LIMIT
+) -> DataFrame:
+    unique = census_by_name_state(census, "census_name")
+
+    def resolve(names: DataFrame) -> DataFrame:
+        keyed = names.withColumns(
+            {
+                "name_clean": places.census_name(F.col("regio3")),
+                "state_code": parsing.state_code(F.col("regio1")),
+            }
+        )
+        return lookup_join(keyed, unique, ["name_clean", "state_code"], limit=limit)
+
+    return by_distinct(listings, ["regio3", "regio1"], resolve, limit)
 
 
-def join_two_candidates(listings: DataFrame, census: DataFrame) -> DataFrame:
+def join_two_candidates(
+    listings: DataFrame, census: DataFrame, limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Fine place name first, the coarser region name where that finds nothing."""
     unique = census_by_name_state(census, "census_name_wide")
-    keyed = listings.withColumns(
-        {
-            "cand1": places.census_name_wide(F.col("regio3")),
-            "cand2": places.census_name_wide(F.col("regio2")),
-            "state_code": parsing.state_code(F.col("regio1")),
-        }
-    )
     steps = [
         (unique, {"cand1": "name_clean", "state_code": "state_code"}),
         (unique, {"cand2": "name_clean", "state_code": "state_code"}),
     ]
-    return cascade(keyed, steps, "GKZ", "GKZ")
+
+    def resolve(names: DataFrame) -> DataFrame:
+        keyed = names.withColumns(
+            {
+                "cand1": places.census_name_wide(F.col("regio3")),
+                "cand2": places.census_name_wide(F.col("regio2")),
+                "state_code": parsing.state_code(F.col("regio1")),
+            }
+        )
+        return cascade(keyed, steps, "GKZ", "GKZ", limit)
+
+    return by_distinct(listings, ["regio3", "regio2", "regio1"], resolve, limit)
 
 
 def area_means(census: DataFrame, rent: str, digits: int, out: str) -> DataFrame:
@@ -255,17 +274,21 @@ def join_hierarchy(listings: DataFrame, census: DataFrame, rent: str) -> DataFra
 QUERY = ["plz5", "city_norm", "regio3_norm", "kreis5", "bl2"]
 
 
-def open_queries(listings: DataFrame, hints: bool, out: str) -> DataFrame:
-    """Listings with the name keys of the candidate matchers."""
+def query_columns(listings: DataFrame, hints: bool) -> list[str]:
+    """The raw columns the candidate matchers look at."""
+    extra = ["regio3", *(["geo_krs", "regio2", "regio1"] if hints else [])]
+    return [c for c in place_columns(listings, extra) if c in listings.columns]
+
+
+def with_queries(names: DataFrame, hints: bool) -> DataFrame:
     none = F.lit(None).cast("string")
-    return listings.withColumns(
+    return names.withColumns(
         {
-            "plz5": plz_source(listings),
-            "city_norm": places.letters_only(city_source(listings)),
+            "plz5": plz_source(names),
+            "city_norm": places.letters_only(city_source(names)),
             "regio3_norm": places.letters_only(F.col("regio3")),
-            "kreis5": kreis5(listings) if hints else none,
+            "kreis5": kreis5(names) if hints else none,
             "bl2": parsing.state_code(F.col("regio1")) if hints else none,
-            **({} if out in listings.columns else {out: none}),
         }
     )
 
@@ -309,15 +332,30 @@ def _in_pool() -> Column:
     return district | state | (F.col("pool") == 2)
 
 
-def _distinct_open(keyed: DataFrame, out: str) -> DataFrame:
-    return keyed.where(F.col(out).isNull() & F.col("plz5").isNotNull()).select(*QUERY).distinct()
-
+def _match_open(
+    listings: DataFrame,
+    out: str,
+    hints: bool,
+    match: Callable[[DataFrame], DataFrame],
+    limit: int,
+) -> DataFrame:
+    """Fill the gaps of ``out`` with the best candidate per distinct query.
 
-def _fill(keyed: DataFrame, best: DataFrame, out: str, limit: int) -> DataFrame:
-    joined = lookup_join(
+    ``match`` turns distinct queries with a PLZ into (query, AGS). Rows that already have
+    a key take no part in the matching.
+    """
+    raw = query_columns(listings, hints)
+    still_open = listings.where(F.col(out).isNull()) if out in listings.columns else listings
+    keyed = with_queries(still_open.select(*raw).distinct(), hints)
+    best = match(keyed.where(F.col("plz5").isNotNull()).select(*QUERY).distinct())
+    answers = lookup_join(
         keyed, best.select(*QUERY, F.col("AGS").alias("__ags")), QUERY, null_safe=True, limit=limit
     )
-    return joined.withColumn(out, F.coalesce(F.col(out), F.col("__ags"))).drop("__ags")
+    joined = lookup_join(
+        listings, answers.select(*raw, "__ags"), raw, null_safe=True, limit=limit
+    )
+    known = [out] if out in listings.columns else []
+    return joined.withColumn(out, F.coalesce(*known, "__ags")).drop("__ags")
 
 
 def match_token_overlap(
@@ -330,15 +368,20 @@ def match_token_overlap(
     """Best candidate of the PLZ by shared words, for listings without a key.
 
     A word of the place name counts once in the municipality name and once in the place
-    name of the candidate; a word of the fine name adds one half. Only candidates that
-    share a word can score, so queries and candidates meet on (PLZ, word), after both
-    sides were reduced to distinct names. With ``hints`` the candidates are narrowed to
-    the same district, else the same state, else all of the PLZ.
+    name of the candidate; a word of the fine name adds one half. With ``hints`` the
+    candidates are narrowed to the same district, else the same state, else all of the
+    PLZ.
     """
-    keyed = open_queries(listings, hints, out)
     candidates = place_candidates(key_map)
-    queries = with_pool(_distinct_open(keyed, out), candidates, limit)
 
+    def match(queries: DataFrame) -> DataFrame:
+        return best_overlap(with_pool(queries, candidates, limit), candidates, limit)
+
+    return _match_open(listings, out, hints, match, limit)
+
+
+def best_overlap(queries: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
+    """Only candidates that share a word can score, so both sides meet on (PLZ, word)."""
     name, fine = tx.tokens(F.col("city_norm")), tx.tokens(F.col("regio3_norm"))
     asked = (
         queries.withColumns({"__name": name, "__fine": fine})
@@ -365,10 +408,13 @@ def match_token_overlap(
     pairs = lookup_join(asked, offered, ["plz5", "token"], "inner", limit=limit).where(_in_pool())
     points = F.col("in_name") * F.col("found") + F.lit(0.5) * F.col("in_fine")
     scores = pairs.groupBy(*QUERY, "row_no", "AGS").agg(F.sum(points).alias("score"))
-    best = scores.groupBy(*QUERY).agg(
-        F.min(F.struct((-F.col("score")).alias("rank"), "row_no", "AGS")).alias("best")
-    )
-    return _fill(keyed, best.select(*QUERY, "best.AGS"), out, limit)
+    return _best(scores)
+
+
+def _best(scores: DataFrame) -> DataFrame:
+    """Highest score per query, the first map row on ties."""
+    rank = F.struct((-F.col("score")).alias("rank"), "row_no", "AGS")
+    return scores.groupBy(*QUERY).agg(F.min(rank).alias("best")).select(*QUERY, "best.AGS")
 
 
 def match_overlap_filtered(
@@ -385,28 +431,31 @@ def match_fuzzy(
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Best candidate by token-sorted similarity of at least ``threshold`` percent."""
-    keyed = open_queries(listings, True, out)
-    candidates = place_candidates(key_map).withColumn(
-        "label", sorted_tokens(F.concat_ws("|", "gemeinde_norm", "ort_norm"))
-    )
-    queries = with_pool(_distinct_open(keyed, out), candidates, limit)
-    words = F.concat_ws(
-        " ", F.nullif(F.col("city_norm"), F.lit("")), F.nullif(F.col("regio3_norm"), F.lit(""))
-    )
-    queries = queries.withColumn("target", sorted_tokens(words))
-    pairs = near_pairs(
-        queries, candidates, "target", "label", threshold / 100.0, ["plz5"], limit
-    )
+    label = sorted_tokens(F.concat_ws("|", "gemeinde_norm", "ort_norm"))
+    candidates = place_candidates(key_map).withColumn("label", label)
+
+    def match(queries: DataFrame) -> DataFrame:
+        words = F.concat_ws(
+            " ", F.nullif(F.col("city_norm"), F.lit("")), F.nullif(F.col("regio3_norm"), F.lit(""))
+        )
+        asked = with_pool(queries, candidates, limit).withColumn("target", sorted_tokens(words))
+        return best_similar(asked, candidates, threshold, limit)
+
+    return _match_open(listings, out, True, match, limit)
+
+
+def best_similar(
+    queries: DataFrame, candidates: DataFrame, threshold: float, limit: int
+) -> DataFrame:
+    """Texts are compared once per distinct pair, then matched up within their PLZ."""
+    pairs = near_pairs(queries, candidates, "target", "label", threshold / 100.0, limit=limit)
     scored = pairs.withColumn("score", indel_score_udf(F.col("target"), F.col("label"))).where(
         F.col("score") >= threshold
     )
-    asked = lookup_join(queries, scored, ["plz5", "target"], "inner", limit=limit)
+    reachable = lookup_join(queries, scored, ["target"], "inner", limit=limit)
     offered = candidates.select("plz5", "label", "c_kreis5", "c_bl2", "row_no", "AGS")
-    ranked = lookup_join(asked, offered, ["plz5", "label"], "inner", limit=limit).where(_in_pool())
-    best = ranked.groupBy(*QUERY).agg(
-        F.min(F.struct((-F.col("score")).alias("rank"), "row_no", "AGS")).alias("best")
-    )
-    return _fill(keyed, best.select(*QUERY, "best.AGS"), out, limit)
+    ranked = lookup_join(reachable, offered, ["plz5", "label"], "inner", limit=limit)
+    return _best(ranked.where(_in_pool()))
 
 
 # --- census values ------------------------------------------------------------------

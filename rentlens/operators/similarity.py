@@ -123,30 +123,28 @@ def near_pairs(
     a: str,
     b: str,
     ratio: float,
-    block: list[str] | None = None,
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Distinct (block, a, b) that can reach ``ratio``: a superset without false misses."""
-    block = block or []
+    """Distinct (a, b) that can reach ``ratio``: a superset without false misses."""
     wanted = (
-        left.select(*block, a)
+        left.select(a)
         .distinct()
         .where(F.length(a) > 0)
         .withColumn("__p", F.explode(_wanted_segments(F.col(a), ratio)))
-        .select(*block, a, "__p.*")
+        .select(a, "__p.*")
     )
     own = (
-        right.select(*block, b)
+        right.select(b)
         .distinct()
         .where(F.length(b) > 0)
         .withColumn("__p", F.explode(_own_segments(F.col(b), ratio)))
-        .select(*block, b, "__p.*")
+        .select(b, "__p.*")
     )
-    keys = [*block, "length", "i", "piece"]
-    pairs = lookup_join(wanted, own, keys, "inner", limit=limit).select(*block, a, b).distinct()
+    found = lookup_join(wanted, own, ["length", "i", "piece"], "inner", limit=limit)
     # Substitutions count once in the Levenshtein distance, so it never exceeds the bound.
     edits = F.floor((F.length(a) + F.length(b)) * (1 - ratio) + EPS).cast("int")
-    return pairs.where(F.levenshtein(F.col(a), F.col(b)) <= edits)
+    near = found.select(a, b).distinct()
+    return near.where(F.levenshtein(F.col(a), F.col(b)) <= edits)
 
 
 def close_match(

@@ -55,10 +55,16 @@ def clean_listings(raw: DataFrame) -> DataFrame:
         )
     if "floor" in present:
         df = df.withColumn("floor", features.clamp_floor(F.col("floor")))
-        df = impute.fill_mode(df, "floor", 0.0)
-    if "pricetrend" in present:
-        df = impute.fill_mean(df, "pricetrend")
-    return df
+    return fill_global(df, 0.0)
+
+
+def fill_global(df: DataFrame, default_floor: float | None = None) -> DataFrame:
+    """Floor by its mode and price trend by its mean, as far as the columns exist."""
+    if "floor" in df.columns and "pricetrend" in df.columns:
+        return impute.fill_mode_and_mean(df, "floor", "pricetrend", default_floor)
+    if "floor" in df.columns:
+        return impute.fill_mode(df, "floor", default_floor)
+    return impute.fill_mean(df, "pricetrend") if "pricetrend" in df.columns else df
 
 
 def resolve_listings(
@@ -78,14 +84,9 @@ def train_ready(keyed: DataFrame) -> DataFrame:
     flags = [c for c in ("garden", "lift", "hasKitchen", "balcony", "cellar") if c in df.columns]
     df = df.withColumns({c: parsing.flag01(F.col(c)) for c in flags})
     df = columns.keep_existing(df, columns.TRAIN_COLUMNS)
-    if "floor" in df.columns:
-        df = df.withColumn(
-            "floor", F.coalesce(F.col("floor"), impute.most_frequent(df, "floor").scalar())
-        )
     if "serviceCharge" in df.columns:
         df = impute.fill_const(df, {"serviceCharge": 0.0})
-    if "pricetrend" in df.columns:
-        df = impute.fill_mean(df, "pricetrend")
+    df = fill_global(df)
     texts = [c for c in ("typeOfFlat", "heatingType_clean", "periode_0005") if c in df.columns]
     return filters.plausible(impute.fill_const(df, {c: "unknown" for c in texts}))
 
