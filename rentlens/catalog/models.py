@@ -43,14 +43,14 @@ def l1(t):
 def l2(t):
     train, test = sampling.split(pricing.train_table(_standard(t), ["listing_id"]), "listing_id")
     model = pricing.fit_basic(train, TREES, DEPTH)
-    return pricing.regression_metrics(pricing.score_batch(model, test), "rent_cold", "pred")
+    return pricing.evaluate(model, test, store.shared_dir(t.spark))
 
 
 @query("L3_fit_rich")
 def l3(t):
     train, test = _rich_split(t)
     model = pricing.fit_rich(train, TREES, DEPTH)
-    return pricing.regression_metrics(pricing.score_batch(model, test), "rent_cold", "pred")
+    return pricing.evaluate(model, test, store.shared_dir(t.spark))
 
 
 @query(

@@ -15,6 +15,7 @@ from rentlens.operators.columns import numeric
 from rentlens.operators.impute import column_medians, most_frequent
 from rentlens.operators.quantiles import exact_median
 from rentlens.operators.reports import unit_context
+from rentlens.sources.tables import write_stage
 
 # Features of the two model variants.
 BASIC_NUMERIC = ["area_sqm", "rooms", "floor", "year_built", "lat", "lon"]
@@ -130,6 +131,18 @@ def feature_stages(
     return stages, max(32, widest + 2)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Persisted rows on at least as many partitions as there are cores."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    wide = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    wide.count()
+    kept.unpersist()
+    return wide
+
+
 def fit_forest(
     train: DataFrame,
     numeric_names: list[str],
@@ -140,7 +153,7 @@ def fit_forest(
     seed: int = 42,
     target: str = TARGET,
 ) -> PipelineModel:
-    train = train.select(*numeric_names, *text_names, target).persist(StorageLevel.MEMORY_AND_DISK)
+    train = spread_rows(train.select(*numeric_names, *text_names, target))
     stages, bins = feature_stages(train, numeric_names, text_names)
     forest = RandomForestRegressor(
         featuresCol="features",
@@ -199,6 +212,12 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataF
     ).select("n", "mae", median.alias("mdae"), "mape", "smape", "r2")
 
 
+def evaluate(model: PipelineModel, test: DataFrame, path: str, target: str = TARGET) -> DataFrame:
+    """Hold-out metrics over predictions that are scored once and kept at ``path``."""
+    scored = score_batch(model, test).select(F.col(target).alias("y"), "pred")
+    return regression_metrics(write_stage(scored, path))
+
+
 def feature_importance(model: PipelineModel, scored: DataFrame, k: int = 30) -> DataFrame:
     """Names and importances of the ``k`` strongest features.
 
