@@ -20,6 +20,16 @@ MAP9 = f"""m AS (SELECT {q.plz5('PLZ')} AS PLZ, trim(ARS) AS ARS, AGS, row_no,
                         {q.n9('Gemeindename')} AS g, {q.n9('Ort')} AS o FROM fx_keymap)"""
 
 
+@query(
+    "G6_unique_key_map_pair",
+    f"WITH {MAP9} {q.unique_map('m', ['PLZ', 'g'], 'ARS')}",
+)
+def g6_pair(t):
+    table = resolve.prepared_map(t.fx("keymap"), "nine_words")
+    pairs = resolve.unique_key_map(table, ["PLZ", "gemeinde_norm"], "ARS")
+    return pairs.withColumnRenamed("gemeinde_norm", "g")
+
+
 @query(
     "G6_unique_key_map",
     f"""WITH {MAP9}
@@ -39,8 +49,10 @@ def g6(t):
         "plz_place": ["PLZ", "ort_norm"],
     }
     out = None
-    for kind, on in kinds.items():
-        part = resolve.unique_key_map(table, on, "ARS").select(
+    for (kind, on), part in zip(
+        kinds.items(), resolve.unique_key_maps(table, list(kinds.values()), "ARS")
+    ):
+        part = part.select(
             F.lit(kind).alias("kind"),
             F.col(on[0]).alias("k1"),
             (F.col(on[1]) if len(on) > 1 else F.lit("")).alias("k2"),

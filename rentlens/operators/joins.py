@@ -24,14 +24,13 @@ SALTS = 64
 
 def measured_bytes(frames: list[DataFrame]) -> list[int]:
     """Size of each frame as JSON text, all of them in one distributed job."""
-    sizes = [
-        f.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).select(
-            F.lit(i).alias("frame"), "bytes"
-        )
+    rows = [
+        f.select(F.lit(i).alias("frame"), F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
         for i, f in enumerate(frames)
     ]
-    rows = reduce(DataFrame.unionAll, sizes).collect()
-    return [r["bytes"] or 0 for r in sorted(rows, key=lambda r: r["frame"])]
+    sums = reduce(DataFrame.unionAll, rows).groupBy("frame").agg(F.sum("bytes").alias("bytes"))
+    found = {r["frame"]: r["bytes"] for r in sums.collect()}
+    return [found.get(i, 0) for i in range(len(frames))]
 
 
 def lookup_join(
@@ -54,18 +53,23 @@ def lookup_joins(
     *,
     null_safe: bool = False,
     limit: int = BROADCAST_LIMIT,
+    keep: bool = True,
 ) -> DataFrame:
     """Several lookups on one big side, measured together in a single job.
 
     The measured frames stay persisted (recomputable, on disk when memory is short), so
-    the join does not evaluate a broadcast side a second time.
+    the join does not evaluate a broadcast side a second time. ``keep=False`` is for
+    frames that are read from a persisted one anyway.
     """
-    kept = [right.persist(StorageLevel.MEMORY_AND_DISK) for right, _ in lookups]
+    kept = [
+        right.persist(StorageLevel.MEMORY_AND_DISK) if keep else right for right, _ in lookups
+    ]
     for right, (_, on), size in zip(kept, lookups, measured_bytes(kept)):
         if size <= limit:
             left = _join(left, F.broadcast(right), on, how, null_safe)
         else:
-            right.unpersist()
+            if keep:
+                right.unpersist()
             left = salted_join(left, right, on, how, null_safe=null_safe)
     return left
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +73,39 @@ def unique_key_map(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return spread.where(F.col(value) == F.col("__max")).drop("__max")
 
 
+def unique_key_maps(
+    df: DataFrame, key_sets: list[list[str]], value: str
+) -> list[DataFrame]:
+    """``unique_key_map`` for several key sets from one pass over the table."""
+    keys = list(dict.fromkeys(k for on in key_sets for k in on))
+    sets = [[F.col(k) for k in on] for on in key_sets]
+    spread = (
+        df.groupingSets(sets, *[F.col(k) for k in keys])
+        .agg(
+            F.grouping_id().alias("__set"),
+            F.min(value).alias(value),
+            F.max(value).alias("__max"),
+        )
+        .where(F.col(value) == F.col("__max"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    maps = []
+    for on in key_sets:
+        # One bit per key, the first key highest, set where the key is grouped away.
+        number = int("".join("0" if k in on else "1" for k in keys), 2)
+        usable = [F.col(k) != "" for k in on]
+        wanted = reduce(lambda a, b: a & b, usable, F.col("__set") == number)
+        maps.append(spread.where(wanted).select(*on, value))
+    return maps
+
+
 def cascade(
     df: DataFrame,
     steps: list[tuple[DataFrame, dict[str, str]]],
     value: str,
     out: str,
     limit: int = BROADCAST_LIMIT,
+    keep: bool = True,
 ) -> DataFrame:
     """Fill ``out`` from several unique maps, the first hit wins.
 
@@ -93,7 +121,7 @@ def cascade(
         lookups.append((named, list(on)))
     hits = [f"__hit_{i}" for i in range(len(steps))]
     known = [out] if out in df.columns else []
-    joined = lookup_joins(df, lookups, limit=limit)
+    joined = lookup_joins(df, lookups, limit=limit, keep=keep)
     return joined.withColumn(out, F.coalesce(*known, *hits)).drop(*hits)
 
 
@@ -108,18 +136,20 @@ def _name_steps(
         "plz_name": {"plz5": "PLZ", "city_norm": "gemeinde_norm"},
         "plz_place": {"plz5": "PLZ", "city_norm": "ort_norm"},
     }
-    return [(unique_key_map(table, list(on[s].values()), value), on[s]) for s in order]
+    maps = unique_key_maps(table, [list(on[s].values()) for s in order], value)
+    return [(table, on[s]) for table, s in zip(maps, order)]
 
 
 def prepared_map(key_map: DataFrame, variant: str) -> DataFrame:
-    """Key map with clean PLZ and keys and both names normalised."""
-    return key_map.withColumns(
+    """Key map with clean PLZ and both names normalised, kept for the maps made from it."""
+    table = key_map.withColumns(
         {
             "PLZ": parsing.plz5(F.col("PLZ")),
             "gemeinde_norm": places.normalize_place(F.col("Gemeindename"), variant),
             "ort_norm": places.normalize_place(F.col("Ort"), variant),
         }
-    ).where(F.col("PLZ").isNotNull())
+    )
+    return table.where(F.col("PLZ").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def resolve_gkz_cascade(
@@ -130,15 +160,14 @@ def resolve_gkz_cascade(
     table = prepared_map(ags, "cut_suffixes")
     steps = _name_steps(table, "AGS", ["plz", "name", "place", "plz_name", "plz_place"])
     fine = prepared_map(ags, "letters_only")
-    steps.append(
-        (unique_key_map(fine, ["gemeinde_norm"], "AGS"), {"regio3_norm": "gemeinde_norm"})
-    )
+    by_name = unique_key_maps(fine, [["gemeinde_norm"]], "AGS")[0]
+    steps.append((by_name, {"regio3_norm": "gemeinde_norm"}))
 
     def resolve(names: DataFrame) -> DataFrame:
         keyed = with_place_keys(names, "cut_suffixes").withColumn(
             "regio3_norm", places.letters_only(F.col("regio3"))
         )
-        return cascade(keyed, steps, "AGS", out, limit)
+        return cascade(keyed, steps, "AGS", out, limit, keep=False)
 
     return by_distinct(listings, place_columns(listings, ["regio3"]), resolve, limit)
 
@@ -151,7 +180,8 @@ def resolve_ars_cascade(
     steps = _name_steps(table, "ARS", ["plz_name", "plz", "name", "place"])
 
     def resolve(names: DataFrame) -> DataFrame:
-        return cascade(with_place_keys(names, "nine_words"), steps, "ARS", out, limit)
+        keyed = with_place_keys(names, "nine_words")
+        return cascade(keyed, steps, "ARS", out, limit, keep=False)
 
     return by_distinct(listings, place_columns(listings), resolve, limit)
 
@@ -305,9 +335,8 @@ def place_candidates(key_map: DataFrame, order: str = "row_no") -> DataFrame:
         F.col(order).alias("row_no"),
         "AGS",
     )
-    return first_row(
-        table, ["plz5", "c_kreis5", "c_bl2", "gemeinde_norm", "ort_norm"], ["row_no"]
-    )
+    keys = ["plz5", "c_kreis5", "c_bl2", "gemeinde_norm", "ort_norm"]
+    return first_row(table, keys, ["row_no"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def with_pool(queries: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
@@ -346,7 +375,9 @@ def _match_open(
     """
     raw = query_columns(listings, hints)
     still_open = listings.where(F.col(out).isNull()) if out in listings.columns else listings
-    keyed = with_queries(still_open.select(*raw).distinct(), hints)
+    keyed = with_queries(still_open.select(*raw).distinct(), hints).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     best = match(keyed.where(F.col("plz5").isNotNull()).select(*QUERY).distinct())
     answers = lookup_join(
         keyed, best.select(*QUERY, F.col("AGS").alias("__ags")), QUERY, null_safe=True, limit=limit
@@ -508,10 +539,8 @@ def location_defaults(requests: DataFrame, key_map: DataFrame, census: DataFrame
             "ARS": parsing.digits_only(F.col("ARS")),
         }
     )
-    steps = [
-        (unique_key_map(table, ["PLZ"], "ARS"), {"__plz": "PLZ"}),
-        (unique_key_map(table, ["gemeinde_norm"], "ARS"), {"__name": "gemeinde_norm"}),
-    ]
+    by_plz, by_name = unique_key_maps(table, [["PLZ"], ["gemeinde_norm"]], "ARS")
+    steps = [(by_plz, {"__plz": "PLZ"}), (by_name, {"__name": "gemeinde_norm"})]
     asked = requests.withColumns(
         {
             "__plz": parsing.plz5(F.col("city_or_plz")),
@@ -519,7 +548,8 @@ def location_defaults(requests: DataFrame, key_map: DataFrame, census: DataFrame
         }
     )
     known = F.col("periode").isin(features.PICK_PERIODS)
-    keyed = cascade(asked, steps, "ARS", "ARS").withColumn("ARS", F.when(known, F.col("ARS")))
+    found = cascade(asked, steps, "ARS", "ARS", keep=False)
+    keyed = found.withColumn("ARS", F.when(known, F.col("ARS")))
     rents = first_row(
         census.select(
             F.col("GKZ").alias("ARS"),
