@@ -137,6 +137,24 @@ def csv_lines_of_archive(content: bytes) -> Iterator[list[str]]:
             yield from csv.reader(text)
 
 
+def archive_columns(archives: DataFrame) -> list[str]:
+    """Header names of all archives in their first order of appearance; only headers are read."""
+
+    def headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                names = next(csv_lines_of_archive(content), [])
+                yield pd.DataFrame(
+                    {"path": path, "at": range(len(names)), "name": [n.strip() for n in names]}
+                )
+
+    found = archives.select("path", "content").mapInPandas(
+        headers, "path string, at int, name string"
+    )
+    first = found.groupBy("name").agg(F.min(F.struct("path", "at")).alias("first"))
+    return [r["name"] for r in first.orderBy("first").collect()]
+
+
 def unzip_csv(
     archives: DataFrame, names: list[str], max_rows: int | None = None, batch: int = 5000
 ) -> DataFrame:
