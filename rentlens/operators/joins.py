@@ -61,6 +61,8 @@ def lookup_joins(
     the join does not evaluate a broadcast side a second time. ``keep=False`` is for
     frames that are read from a persisted one anyway.
     """
+    # Lookups add columns, so the keys of the original rows tell which ones are hot.
+    original = left
     kept = [
         right.persist(StorageLevel.MEMORY_AND_DISK) if keep else right for right, _ in lookups
     ]
@@ -70,7 +72,7 @@ def lookup_joins(
         else:
             if keep:
                 right.unpersist()
-            left = salted_join(left, right, on, how, null_safe=null_safe)
+            left = salted_join(left, right, on, how, null_safe=null_safe, counted=original)
     return left
 
 
@@ -97,15 +99,17 @@ def salted_join(
     *,
     null_safe: bool = False,
     salts: int = SALTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join whose hot keys on the left are spread over ``salts`` tasks."""
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    total = left.agg(F.count(F.lit(1))).scalar()
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = F.broadcast(
-        counts.where(F.col("__rows") * HOT_PARTS > total).select(*on, F.lit(True).alias("__hot"))
-    )
+    """Shuffle join whose hot keys on the left are spread over ``salts`` tasks.
 
+    Hot keys are found by one counting job over ``counted`` (by default the left side);
+    there are fewer than HOT_PARTS of them, so they can sit in the plan as a small table
+    and the left side appears in the plan only once.
+    """
+    base = counted if counted is not None else left
+    hot = hot_keys(base, on)
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
     salt = F.when(F.col("__hot"), spread)
     if not null_safe:
         # A null key has no partner, so its rows may go anywhere.
@@ -122,6 +126,16 @@ def salted_join(
     return _join(salted_left, salted_right, [*on, "__salt"], how, null_safe).drop("__salt")
 
 
+def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
+    """Keys that hold more than 1/HOT_PARTS of all rows, as a broadcast table with a mark."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+    total = counts.agg(F.sum("__rows")).scalar()
+    found = counts.where(F.col("__rows") * HOT_PARTS > total).select(*on).collect()
+    schema = df.select(*on).schema
+    table = df.sparkSession.createDataFrame(found, schema)
+    return F.broadcast(table.withColumn("__hot", F.lit(True)))
+
+
 def _any_null(on: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
 

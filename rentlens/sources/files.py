@@ -89,7 +89,7 @@ def scan_csv_robust(spark: SparkSession, path: str, sample_lines: int = 20) -> D
 
 
 def _decoded(c: Column, encoding: str) -> Column:
-    return c if encoding == "UTF-8" else F.decode(c.cast("binary"), F.lit(encoding))
+    return c if encoding == "UTF-8" else F.decode(c.cast("binary"), encoding)
 
 
 def file_order() -> Column:
@@ -143,9 +143,13 @@ def archive_columns(archives: DataFrame) -> list[str]:
     def headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                names = next(csv_lines_of_archive(content), [])
+                names = [n.strip() for n in next(csv_lines_of_archive(content), [])]
                 yield pd.DataFrame(
-                    {"path": path, "at": range(len(names)), "name": [n.strip() for n in names]}
+                    {
+                        "path": pd.Series([path] * len(names), dtype=object),
+                        "at": pd.Series(range(len(names)), dtype="int32"),
+                        "name": pd.Series(names, dtype=object),
+                    }
                 )
 
     found = archives.select("path", "content").mapInPandas(
