@@ -27,7 +27,7 @@ names = st.lists(st.text("abn 1", min_size=1, max_size=14), min_size=1, max_size
 
 
 @pytest.mark.parametrize("ratio", [0.87, 0.9, 0.75])
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(left=names, right=names)
 def test_near_pairs_miss_nothing(spark, ratio, left, right):
     a = spark.createDataFrame([(x,) for x in left], "a string")
