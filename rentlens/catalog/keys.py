@@ -8,7 +8,7 @@ from rentlens.catalog import oracle as q
 from rentlens.catalog.registry import query
 from rentlens.functions import features, places
 from rentlens.functions.features import PERIOD_COLUMNS, PICK_PERIODS
-from rentlens.operators import aggregates, columns, filters, resolve
+from rentlens.operators import aggregates, filters, resolve
 from rentlens.operators.similarity import close_match
 from rentlens.plans import listings as jobs
 
