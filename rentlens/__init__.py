@@ -1 +1,9 @@
 """rentlens: rental-market analytics as PySpark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so the workers need no copy of
+# the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
