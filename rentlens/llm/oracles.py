@@ -36,3 +36,33 @@ SELECT doc_id, size, source_size, target,
   rate, least(floor(rate) + (2 * upto - own <= 2 * quota)::INT, 3)::BIGINT AS copies
 FROM c
 """
+
+ORACLES["op7_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+w AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n,
+    array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS win
+  FROM b, generate_series(1, len(words) - least(len(words), 10) + 1) AS g(i) WHERE len(words) > 0),
+ns AS (SELECT DISTINCT n FROM w),
+dw AS (
+  SELECT row, n, i, array_to_string(words[i : i + n - 1], ' ') AS win
+  FROM d, ns, generate_series(1, len(words) - n + 1) AS g(i)),
+m AS (SELECT row, dw.n, i, item_id FROM dw JOIN w ON dw.n = w.n AND dw.win = w.win),
+h AS (SELECT row, count(DISTINCT p)::BIGINT AS n_hit FROM m, generate_series(i, i + n - 1) AS g(p) GROUP BY row),
+it AS (
+  SELECT row, count(*)::BIGINT AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM m WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN it USING (row)
+"""
