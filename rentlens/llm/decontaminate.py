@@ -219,3 +219,17 @@ def _windows(stage: DataFrame, bench: Benchmark, broadcast_rows: int) -> DataFra
         )
     )
     return by_row.select("row", "n_hit").join(listed, "row", "left")
+
+
+def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents without any benchmark window, all columns and repeated rows kept.
+
+    Contamination depends on the text alone, so marked texts are found by their digest.
+    """
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    digests = docs.select(digest.alias("__digest"), F.col(text).alias("text"))
+    marked = mark(digests, items, key="__digest", **options)
+    found = staged(marked.where("contaminated").select("__digest").distinct())
+    return docs.withColumn("__digest", digest).join(
+        _small(found, BROADCAST_ROWS), "__digest", "left_anti"
+    ).select(docs.columns)

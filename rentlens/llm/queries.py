@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import decontaminate, lm, mixing, secrets, simhash, vafile
+from rentlens.llm import decontaminate, lm, mixing, quality, secrets, simhash, vafile
 from rentlens.llm.common import table
 from rentlens.llm.oracles import ORACLES
 
@@ -50,3 +50,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+        host=F.col("source"),
+        path=F.col("lang"),
+    )
+    return found.select("doc_id", "evidence", "site_mean", "quality_prob", "accepted")
