@@ -38,30 +38,46 @@ def _hash(words: Column, start: Column, n: int) -> Column:
     return F.xxhash64(F.slice(words, start + 1, n)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def kept_hashes(words: Column, gram: int, run: int) -> Column:
-    """``struct(gram, hash, place)`` of the winnowed k-grams; ties keep the leftmost."""
-    size = F.size(words)
-    keyed = F.transform(
-        _numbers(size - gram),
-        lambda i: F.shiftleft(_hash(words, i, gram), PLACE_BITS).bitwiseOR(i.cast("long")),
+def with_kept_hashes(df: DataFrame, lengths: list[int], gram: int, run: int | None) -> DataFrame:
+    """Adds ``kept``: ``struct(gram, hash, place)`` of the winnowed k-grams of ``words``.
+
+    Ties keep the leftmost. For lengths below a k-gram every n-gram is kept. The hashes are
+    a column of their own, as an expression used inside a lambda is computed per element.
+    """
+    short = [n for n in lengths if n < gram]
+    columns = {f"__keyed{n}": _keyed(n) for n in [*short, *([gram] if run else [])]}
+    hashed = df.select("*", *[c.alias(n) for n, c in columns.items()])
+    none = F.array().cast("array<struct<gram:int,hash:bigint,place:int>>")
+    kept = [_unpacked(F.col(f"__keyed{n}"), n) for n in short]
+    if run:
+        keyed = f"__keyed{gram}"
+        starts = _numbers(F.size(keyed) - run)
+        lowest = F.array_distinct(
+            F.transform(starts, lambda i: F.array_min(F.slice(keyed, i + 1, run)))
+        )
+        kept.append(_unpacked(lowest, gram))
+    return hashed.withColumn("kept", F.concat(none, *kept)).drop(*columns)
+
+
+def _keyed(n: int) -> Column:
+    words = F.col("words")
+    return F.transform(
+        _numbers(F.size(words) - n),
+        lambda i: F.shiftleft(_hash(words, i, n), PLACE_BITS).bitwiseOR(i.cast("long")),
     )
+
+
+def _unpacked(packed: Column, n: int) -> Column:
     return F.transform(
-        _lowest(keyed, run),
+        packed,
         lambda x: F.struct(
-            F.lit(gram).alias("gram"),
+            F.lit(n).alias("gram"),
             F.shiftright(x, PLACE_BITS).alias("hash"),
             x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place"),
         ),
     )
 
 
-def _lowest(keyed: Column, run: int) -> Column:
-    if run == 1:
-        return keyed
-    starts = _numbers(F.size(keyed) - run)
-    return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(keyed, i + 1, run))))
-
-
 class Benchmark:
     """Staged tables of the benchmark: windows, their items, fingerprints, and lengths."""
 
@@ -85,17 +101,12 @@ class Benchmark:
         self.windows = sets.select("window", "items_id")
         self.items = staged(sets.groupBy("items_id").agg(F.first("items").alias("items")))
         self.hashes = staged(
-            base.select(F.explode(self.hashes_of(F.col("words"))).alias("h"))
-            .select("h.gram", "h.hash").distinct()
+            self.with_hashes(base).select(F.explode("kept").alias("h")).select("h.gram", "h.hash").distinct()
         )
 
-    def hashes_of(self, words: Column) -> Column:
-        """Kept hashes for windows of one k-gram at least, and every n-gram of shorter ones."""
-        arrays = [kept_hashes(words, n, 1) for n in self.lengths if n < self.gram]
-        if self.run:
-            arrays.append(kept_hashes(words, self.gram, self.run))
-        none = F.array().cast("array<struct<gram:int,hash:bigint,place:int>>")
-        return F.concat(none, *arrays)
+    def with_hashes(self, df: DataFrame) -> DataFrame:
+        """``kept``: hashes for windows of one k-gram at least, every n-gram of shorter ones."""
+        return with_kept_hashes(df, self.lengths, self.gram, self.run)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -138,9 +149,9 @@ def mark(
     worded = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), item_words(F.col(text)).alias("words")
     )
-    spread = worded.select(
+    spread = bench.with_hashes(worded).select(
         "row", "key", F.size("words").cast("long").alias("n_words"),
-        F.posexplode_outer(F.transform(bench.hashes_of(words), around)).alias("nth", "h"),
+        F.posexplode_outer(F.transform("kept", around)).alias("nth", "h"),
     ).select("row", "key", "n_words", "nth", "h.*")
     known = bench.hashes.withColumn("hit", F.lit(True))
     met = spread.join(_small(known, broadcast_rows), ["gram", "hash"], "left")
