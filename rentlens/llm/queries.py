@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import decontaminate, lm, mixing, quality, secrets, simhash, vafile
+from rentlens.llm import decontaminate, html, licences, lm, mixing, quality, secrets, simhash, tokencount, vafile
 from rentlens.llm.common import table
 from rentlens.llm.oracles import ORACLES
 
@@ -61,3 +61,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         path=F.col("lang"),
     )
     return found.select("doc_id", "evidence", "site_mean", "quality_prob", "accepted")
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_sections(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
