@@ -1,0 +1,287 @@
+"""Scoring, token counts, rendering, classification, licences, decontamination, secrets."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from rentlens.llm import decontaminate, gru, html, licences, lm, quality, secrets, tokencount
+from tests.llm.cases import ITEM, SHORT_ITEM, docs, lower, no_docs, texts, words
+
+
+def test_lm_counts_and_base_equal_brute_force(spark):
+    got = lm.score_documents(docs(spark)).collect()
+    tokens = [(i, words(t) + ["\n"]) for i, t in texts()]
+    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+    count = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(count.values()), len(count)
+    want = [
+        (str(i), held(i), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 4))
+        for i, ws in tokens
+    ]
+    rows = [(str(r["doc_id"]), *r[1:5], round(r["base_score"], 4)) for r in got]
+    assert sorted(rows) == sorted(want)
+    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+    assert lm.score_documents(no_docs(spark)).count() == 0
+
+
+def test_lm_words_beyond_the_dictionary_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(lm, "dictionary", lambda counts, most=30, f=lm.dictionary: f(counts, 30))
+    few = {str(r["doc_id"]) + str(r["n_tokens"]): r["base_score"] for r in lm.score_documents(docs(spark)).collect()}
+    monkeypatch.undo()
+    all_ = {str(r["doc_id"]) + str(r["n_tokens"]): r["base_score"] for r in lm.score_documents(docs(spark)).collect()}
+    assert few == pytest.approx(all_)
+
+
+def test_gru_gradients_and_carried_state():
+    rng = np.random.default_rng(0)
+    model = gru.Gru.fresh(rng.integers(1, 50, 70), hidden=5)
+    for name, x in model.a.items():
+        model.a[name] = (x + rng.normal(0, 0.3, x.shape)).astype(np.float32)
+    own = [rng.integers(0, 68, n) for n in (3, 20, 0, 11, 40)]
+    assert gru.score(model, own, 2) == pytest.approx([gru.score(model, [t])[0] for t in own], rel=1e-5)
+    dealt = gru.packed(np.array([len(t) + 1 for t in own]), 2)
+    x, y, keep, real = next(gru.windows(model, own, dealt, 64))
+
+    def loss():
+        states, _ = model.run(x, keep, np.zeros((x.shape[1], 5), np.float32))
+        return -model.log_probs(states[real], y[real])[0].astype(float).sum()
+
+    states, kept = model.run(x, keep, np.zeros((x.shape[1], 5), np.float32))
+    grads = {k: np.zeros_like(v) for k, v in model.a.items()}
+    _, dh = model.log_probs(states[real], y[real], grads)
+    dstates = np.zeros_like(states)
+    dstates[real] = dh
+    model.back(x, keep, kept, dstates, grads)
+    for name, weights in model.a.items():
+        at = np.unravel_index(np.abs(grads[name]).argmax(), weights.shape)
+        before = weights[at]
+        weights[at] = before + 1e-2
+        up = loss()
+        weights[at] = before - 1e-2
+        down = loss()
+        weights[at] = before
+        assert grads[name][at] == pytest.approx((up - down) / 2e-2, rel=2e-2)
+
+
+def test_gru_probabilities_sum_to_one_and_learning_helps():
+    rng = np.random.default_rng(1)
+    model = gru.Gru.fresh(rng.integers(1, 50, 42))
+    h = rng.normal(size=(1, gru.HIDDEN)).astype(np.float32)
+    all_ids = np.arange(42)
+    assert np.exp(model.log_probs(np.repeat(h, 42, 0), all_ids)[0]).sum() == pytest.approx(1, abs=1e-4)
+    own = [np.tile([1, 2, 3], 40) for _ in range(200)]
+    before = gru.score(model, own).sum()
+    gru.Trainer(model).learn(own, 8)
+    assert gru.score(model, own).sum() > 0.5 * before
+
+
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_token_counts_sum_to_the_whole(spark, rule):
+    got = tokencount.count_sections(docs(spark), rule=rule).collect()
+    encoder, _ = tokencount._encoder(tokencount.VOCABULARY)
+    want = Counter()
+    for i, t in texts():
+        want[i] += len(encoder.encode_ordinary(t or ""))
+    sums = Counter()
+    for r in got:
+        sums[r["doc_id"]] += r["n_tokens"]
+    assert sums == want
+    plain = {i: t or "" for i, t in texts()}
+    for r in got:
+        if r["doc_id"] is not None:
+            assert plain[r["doc_id"]][r["start"] : r["end"]].count("\n") <= 1
+    assert tokencount.count_sections(no_docs(spark)).count() == 0
+    with pytest.raises(ValueError):
+        tokencount.count_sections(docs(spark), rule="half")
+
+
+def test_crossing_tokens_follow_the_rule():
+    raw = np.frombuffer("abcdéfgh".encode(), np.uint8)
+    ends, stops = np.array([2, 7, 9]), np.array([3, 9])
+    assert [x.tolist() for x in tokencount.attributed(ends, stops, raw, "first")] == [[2, 1], [1, 0]]
+    assert [x.tolist() for x in tokencount.attributed(ends, stops, raw, "most")] == [[1, 2], [0, 1]]
+
+
+RENDERED = {
+    "<p>a<p>b<br>c": "a\n\nb\nc",
+    "<ul><li>a<li>b<ol><li>c<li>d</ol></ul>e": "- a\n- b\n  1. c\n  2. d\n\ne",
+    "<table><tr><th>Name<th>Q<tr><td>long cell<td>1</table>": "Name      | Q\nlong cell | 1",
+    "<div hidden>x</div><p style='display: none'>y</p><script>z</script>k": "k",
+    "<pre>  a\n   b</pre>": "  a\n   b",
+    "<b>a</b> <i>b</i>c &amp; d": "a bc & d",
+    "<title>t</title>text</p></div>more": "textmore",
+    "": "",
+    "a < b <": "a < b <",
+}
+
+
+def test_rendering(spark):
+    cases = [*RENDERED.items(), ("<div>" * 20_000 + "deep", "deep"), (None, "")]
+    pages = spark.createDataFrame([(i, h, "x") for i, (h, _) in enumerate(cases)], "page_id long, html string, visible_text string")
+    got = {r["page_id"]: r["visible_text"] for r in html.extract(pages).collect()}
+    assert [got[i].strip("\n") for i in range(len(cases))] == [w for _, w in cases]
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def quality_tables(spark):
+    rng = random.Random(2)
+    rows, marks = [], []
+    for i in range(240):
+        good = i % 4 != 0
+        own = [rng.choice(["river", "mill", "road", "the", "of", "bridge", "town,", "stone."]) + rng.choice("abcdef") for _ in range(60)]
+        text = " ".join(own) if good else " | ".join(w + "$$$" for w in own)
+        rows.append((i, text, f"s{i % 5}", "en", "x"))
+        if i < 160:
+            marks.append((i, int(good)))
+    rows += [(1000, None, None, None, "x"), (None, "", "s1", "en", "x"), (1001, "w " * 30_000, "s1", None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, evidence string")
+    return table, spark.createDataFrame([*marks, (None, 1), (3, None)], "doc_id long, quality int")
+
+
+def test_quality_on_held_out_documents(spark):
+    table, labels = quality_tables(spark)
+    site = {"host": F.col("source"), "path": F.col("lang")}
+    got = {r["doc_id"]: r for r in quality.judged(table, labels, **site).collect()}
+    right = sum(got[i]["accepted"] == (i % 4 != 0) for i in range(160, 240))
+    assert right >= 78 and len(got) == 243 and got[1000]["accepted"]
+    none = quality.judged(table, labels.limit(0), **site)
+    assert none.where("not accepted").count() == 0
+    assert quality.judged(table.limit(0), labels, **site).count() == 0
+
+
+def test_sparse_sites_shrink_towards_the_mean(spark):
+    table, labels = quality_tables(spark)
+    bad = table.where("doc_id % 4 = 0 and doc_id < 240").withColumn("source", F.lit("bad"))
+    lone = table.where("doc_id = 1").withColumn("source", F.lit("lone"))
+    rest = table.where("doc_id % 4 <> 0 and doc_id <> 1")
+    judged = quality.judged(rest.union(bad).union(lone), labels, host=F.col("source"), path=F.col("lang"))
+    mean = {r["source"]: r["m"] for r in judged.groupBy("source").agg(F.avg("site_mean").alias("m")).collect()}
+    assert mean["bad"] < mean["lone"] < mean["s2"]
+
+
+def test_licences(spark):
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.",
+             "This work is licensed under the GNU General Public License, version 3.", "plain words of a river and a mill", "under the bridge", ""]
+    rows = [(i, f"some prose {i} about the river\n" + line, "x") for i, line in enumerate(lines * 30)] + [(None, None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, family string")
+    got = sorted((r["doc_id"], r["family"]) for r in licences.scan(table).collect())
+    kinds = ["mit", "apache", "cc-by-nc", "gpl"]
+    assert got == [(i, kinds[i % 7]) for i in range(len(lines) * 30) if i % 7 < 4]
+    assert licences.scan(table.limit(0)).count() == 0
+
+
+def plain_hits(text, items):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    own, hit, found = cut(text), set(), set()
+    for item, other in items:
+        other = cut(other)
+        n = min(10, len(other))
+        wanted = {tuple(other[i : i + n]) for i in range(len(other) - n + 1)} if n else set()
+        for i in range(len(own) - n + 1):
+            if tuple(own[i : i + n]) in wanted:
+                hit |= set(range(i, i + n))
+                found |= {str(item)} - {"None"}
+    return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_equals_brute_force(spark, limit):
+    items = [(1, ITEM), (2, ITEM), (10, SHORT_ITEM), (3, "K300"), (4, None), (5, "..."), (None, "hex é 漢字"),
+             (6, " ".join(f"word{i}" for i in range(100, 130))), (7, "a b c d e f g")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rng = random.Random(4)
+    more = [(100 + k, " ".join(rng.choice("abcdefg") for _ in range(400))) for k in range(3)]
+    table = docs(spark).unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    got = decontaminate.mark(table, bench, broadcast_rows=limit).collect()
+    want = [(i, *plain_hits(t, items)) for i, t in [*texts(), *more]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    left = decontaminate.clean(table, bench)
+    assert left.count() == sum(not w[-1] for w in want) and left.columns == table.columns
+    assert decontaminate.mark(no_docs(spark), bench).count() == 0
+    assert decontaminate.mark(table, bench.limit(0)).where("contaminated").count() == 0
+
+
+BASE = [
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+]
+
+
+def test_secrets_equal_plain_patterns_and_models_add(spark):
+    got = secrets.scan(docs(spark)).collect()
+    want = []
+    for i, t in texts():
+        spans, counts = [], []
+        for rank, (_, pattern, group, least) in enumerate(BASE):
+            found = [m for m in re.finditer(pattern, t or "", re.I if rank == 0 else 0) if len(m[group]) >= least]
+            counts.append(len(found))
+            spans += [(m.start(), rank, m.end()) for m in found]
+        told = ",".join(f"{BASE[r][0]}:{a}:{b}" for a, r, b in sorted(spans))
+        want.append((i, *counts, hashlib.sha256(told.encode()).hexdigest()))
+    assert sorted(str(tuple(r)[:5]) for r in got) == sorted(map(str, want))
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert spans[14] == "model:0:29" and spans[1] == "" and spans[12] == ""
+    assert secrets.scan(no_docs(spark)).count() == 0
+
+
+def test_redaction_keeps_rows_and_other_text(spark):
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark)).collect() if r["doc_id"] not in (None, 11)}
+    plain = dict(texts())
+    assert got[14] == "<secret> stands alone" and got[2] is None and got[3] == ""
+    assert got[8] == '<secret>" and token: short and <secret>'
+    assert all(got[i] == plain[i] for i in (1, 4, 5, 6, 7, 10, 12, 13, 15))
+
+
+def test_pipeline_equals_its_stages_in_plain_code(spark, tmp_path):
+    from tests.llm.test_search_and_mix import plain_fingerprint
+
+    table, labels = quality_tables(spark)
+    table = table.drop("evidence").withColumn("n_chars", F.length("text"))
+    extra = [(2000, "river " + ITEM + " mill town, stone.", "s1", "en", 1), (2001, 'the river token = "abcdefgh12345678" mill town, road bridge.', "s2", "en", 1)]
+    table = table.unionByName(spark.createDataFrame(extra, "doc_id long, text string, source string, lang string, n_chars int"))
+    table = table.unionByName(table.where("doc_id = 5").withColumn("doc_id", F.lit(3000).cast("long")))
+    for name, df in {"documents": table, "labels": labels, "benchmark": spark.createDataFrame([(1, ITEM)], "item_id long, text string")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_classifier(spark, stored, str(tmp_path)).collect()}
+    first: dict[int, list] = {}
+    for i, t in sorted(kept.items(), key=lambda x: (x[0] is None, x[0])):
+        first.setdefault(plain_fingerprint(t), []).append(i)
+    fps = sorted(first, key=lambda f: first[f][0] if first[f][0] is not None else 10**9)
+    left: list[int] = []
+    group: dict[int, int] = {f: f for f in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if (a ^ b).bit_count() <= 2:
+                    group[a] = group[b] = min(group[a], group[b], key=fps.index)
+    left = [first[f][0] for f in fps if group[f] == f]
+    clean = {i: kept[i] for i in left if not plain_hits(kept[i], [(1, ITEM)])[-1]}
+    assert 2000 in kept and 2000 not in clean and 3000 not in clean and 5 in clean
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} <= set(clean)
+    by_id = {r["doc_id"]: r for r in got}
+    assert all(r["text"] == clean[i] for i, r in by_id.items() if i != 2001)
+    assert 2001 not in by_id or "abcdefgh12345678" not in by_id[2001]["text"]
+    total = sum(len(words(t)) for i, t in clean.items()) - (2 if 2001 in clean else 0)
+    sizes = {r["source"]: (r["target"], r["source_size"]) for r in got}
+    assert abs(sum(t for t, _ in sizes.values()) - total) < 5
+    for source, (target, _) in sizes.items():
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own)
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+    nothing = corpus_pipeline.quality_classifier(spark, stored.limit(0), str(tmp_path))
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        nothing = stage(spark, nothing, str(tmp_path))
+    assert nothing.count() == 0
