@@ -377,10 +377,10 @@ _texts(
 @query(
     "D11_key_prefix",
     "SELECT row_no, substr(AGS, 1, 2) AS state_key, substr(AGS, 1, 5) AS district_key "
-    "FROM fx_keymap_full",
+    "FROM fx_keymap",
 )
 def d11(t):
-    return t.fx("keymap_full").select(
+    return t.fx("keymap").select(
         "row_no",
         parsing.key_prefix(F.col("AGS"), 2).alias("state_key"),
         parsing.key_prefix(F.col("AGS"), 5).alias("district_key"),

@@ -1,4 +1,4 @@
-"""Jobs the reference keeps only as commented-out code."""
+"""Older jobs, kept for comparison with the current ones."""
 
 from __future__ import annotations
 

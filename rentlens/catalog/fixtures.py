@@ -62,11 +62,14 @@ LISTING_COLUMNS = f"""
          ELSE (o.o_orderkey % 100) / 8.0e0 END AS pricetrend,
     s.name AS regio1,
     'NATION_' || CAST(c.c_nationkey % 20 AS STRING) || ' Hansestadt' AS regio2,
-    'NATION_' || CAST(c.c_nationkey % 20 AS STRING)
+    CASE WHEN o.o_orderkey % 11 = 0 THEN 'Weiler_' || CAST(o.o_orderkey % 50 AS STRING)
+         ELSE 'NATION_' || CAST(c.c_nationkey % 20 AS STRING) END
         || CASE o.o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ', Stadt'
            WHEN 2 THEN ' (Kreis)' END AS regio3,
-    LPAD(CAST(c.c_custkey % 700 AS STRING), 5, '0') AS geo_plz,
-    'Kreis ' || s.code || LPAD(CAST(c.c_nationkey AS STRING), 3, '0') AS geo_krs,
+    CASE WHEN o.o_orderkey % 7 = 0 THEN CAST(90000 + o.o_orderkey % 900 AS STRING)
+         ELSE LPAD(CAST(c.c_custkey % 700 AS STRING), 5, '0') END AS geo_plz,
+    CASE WHEN o.o_orderkey % 3 <> 0
+         THEN 'Kreis ' || s.code || LPAD(CAST(c.c_nationkey AS STRING), 3, '0') END AS geo_krs,
     CASE o.o_orderkey % 5 WHEN 0 THEN 'ja' WHEN 1 THEN 'nein' WHEN 2 THEN 'TRUE'
          WHEN 3 THEN 'false' END AS hasKitchen,
     CASE o.o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'n' ELSE '1' END AS balcony,
@@ -104,7 +107,7 @@ SQL: dict[str, str] = {
         JOIN {customer} c ON o.o_custkey = c.c_custkey
         JOIN fx_states s ON c.c_nationkey % 16 = s.k
     """,
-    "fx_keymap_full": """
+    "fx_keymap": """
         SELECT s.code || LPAD(CAST(c.c_nationkey AS STRING), 3, '0') || '0000000' AS ARS,
                s.code || LPAD(CAST(c.c_nationkey AS STRING), 3, '0') || '000' AS AGS,
                'NATION_' || CAST(c.c_nationkey % 20 AS STRING) || ', Stadt' AS Gemeindename,
@@ -113,8 +116,6 @@ SQL: dict[str, str] = {
                c.c_custkey AS row_no
         FROM {customer} c JOIN fx_states s ON c.c_nationkey % 16 = s.k
     """,
-    # Sparse variant: leaves listings open for the later stages.
-    "fx_keymap": "SELECT * FROM fx_keymap_full WHERE row_no % 3 <> 0",
     "fx_zensus": f"""
         SELECT s.code || LPAD(CAST(n_nationkey AS STRING), 3, '0') || '0000000' AS GKZ,
                'NATION_' || CAST(n_nationkey % 20 AS STRING) || ', Stadt' AS Gemeindename,
@@ -339,12 +340,7 @@ class Tables:
         path = f"{self.sf_dir}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
-        cores = self.spark.sparkContext.defaultParallelism
-        if name == "orders" and df.rdd.getNumPartitions() < cores:
-            # A file of one row group would leave all but one core idle.
-            df = df.repartition(cores)
-        return df
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def sql(self, body: str) -> DataFrame:
         text = with_fixtures(body)

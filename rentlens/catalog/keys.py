@@ -194,20 +194,12 @@ HIERARCHY = f"""
 
 
 def _hierarchy(t):
-    """Every third district code is taken away, so that all three levels occur."""
-    krs = F.when(F.col("listing_id") % 3 != 0, F.col("geo_krs"))
-    listings = t.fx("places_listed").withColumn("geo_krs", krs)
-    return resolve.join_hierarchy(listings, t.fx("zensus"), "Insgesamt")
-
-
-HIERARCHY_GAPS = HIERARCHY.replace(
-    "regexp_extract(geo_krs,", "regexp_extract(CASE WHEN listing_id % 3 <> 0 THEN geo_krs END,"
-)
+    return resolve.join_hierarchy(t.fx("places_listed"), t.fx("zensus"), "Insgesamt")
 
 
 @query(
     "G5_join_hierarchy",
-    f"WITH {HIERARCHY_GAPS} SELECT listing_id, GKZ, round(zensus_miete, 9) AS zensus_miete, "
+    f"WITH {HIERARCHY} SELECT listing_id, GKZ, round(zensus_miete, 9) AS zensus_miete, "
     "gkz_precision FROM h",
 )
 def g5(t):
@@ -218,7 +210,7 @@ def g5(t):
 
 @query(
     "H5_match_rate_by_precision",
-    f"""WITH {HIERARCHY_GAPS} SELECT gkz_precision, COUNT(*) AS n,
+    f"""WITH {HIERARCHY} SELECT gkz_precision, COUNT(*) AS n,
         round(COUNT(*) / (SELECT COUNT(*) FROM h), 9) AS rate FROM h GROUP BY 1""",
 )
 def h5_precision(t):
@@ -258,7 +250,8 @@ MATCH = f"""
         best AS (SELECT plz5, nm, k5, b2, arg_min(AGS, row_no) AS AGS FROM
                  (SELECT *, MAX(score) OVER (PARTITION BY plz5, nm, k5, b2) AS top FROM scored)
                  WHERE score = top AND score > 0 GROUP BY 1, 2, 3, 4)
-        SELECT listing_id, AGS AS GKZ FROM l0 LEFT JOIN best USING (plz5, nm, k5, b2)""",
+        SELECT listing_id, AGS AS GKZ FROM l0 LEFT JOIN best b ON l0.plz5 = b.plz5
+             AND l0.nm = b.nm AND l0.k5 IS NOT DISTINCT FROM b.k5 AND l0.b2 IS NOT DISTINCT FROM b.b2""",
 )
 def g8(t):
     matched = resolve.match_token_overlap(t.fx("places_listed"), t.fx("keymap"))
@@ -272,7 +265,8 @@ def g8(t):
                  (SELECT *, MAX(score) OVER (PARTITION BY plz5, nm, k5, b2) AS top FROM pooled
                   WHERE pool = best_pool)
                  WHERE score = top AND score > 0 GROUP BY 1, 2, 3, 4)
-        SELECT listing_id, AGS AS GKZ FROM l0 LEFT JOIN best USING (plz5, nm, k5, b2)""",
+        SELECT listing_id, AGS AS GKZ FROM l0 LEFT JOIN best b ON l0.plz5 = b.plz5
+             AND l0.nm = b.nm AND l0.k5 IS NOT DISTINCT FROM b.k5 AND l0.b2 IS NOT DISTINCT FROM b.b2""",
 )
 def g9(t):
     matched = resolve.match_overlap_filtered(t.fx("places_listed"), t.fx("keymap"))

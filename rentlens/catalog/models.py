@@ -16,6 +16,16 @@ from rentlens.sources import tables as store
 TREES, DEPTH = 20, 8
 
 
+METRICS = """WITH e AS (SELECT y, pred, abs(pred - y) AS e,
+                  CASE WHEN abs(y) + abs(pred) = 0 THEN 1 ELSE abs(y) + abs(pred) END AS d
+                  FROM fx_predictions)
+       SELECT COUNT(*) AS n, round(AVG(e), 4) AS mae, round(median(e), 4) AS mdae,
+              round(AVG(e / greatest(y, 1e-6)) * 100, 6) AS mape,
+              round(AVG(2 * e / d) * 100, 6) AS smape,
+              round(1 - SUM(e * e) / SUM((y - m) * (y - m)), 6) AS r2
+       FROM e, (SELECT AVG(y) AS m FROM e)"""
+
+
 def _standard(t):
     return columns.standardize_listings(t.fx("listings"), keep=["listing_id"])
 
@@ -70,14 +80,7 @@ def l3_known(t):
 
 @query(
     "L4_regression_metrics",
-    """WITH e AS (SELECT y, pred, abs(pred - y) AS e,
-                  CASE WHEN abs(y) + abs(pred) = 0 THEN 1 ELSE abs(y) + abs(pred) END AS d
-                  FROM fx_predictions)
-       SELECT COUNT(*) AS n, round(AVG(e), 4) AS mae, round(median(e), 4) AS mdae,
-              round(AVG(e / greatest(y, 1e-6)) * 100, 6) AS mape,
-              round(AVG(2 * e / d) * 100, 6) AS smape,
-              round(1 - SUM(e * e) / SUM((y - m) * (y - m)), 6) AS r2
-       FROM e, (SELECT AVG(y) AS m FROM e)""",
+    METRICS,
 )
 def l4(t):
     table = pricing.regression_metrics(t.fx("predictions"))
@@ -131,13 +134,15 @@ def a13(t):
     return pricing.score_batch(store.load_model(path), test).select("listing_id", "pred")
 
 
-@query("A12_write_metrics")
+@query("A12_write_metrics", METRICS)
 def a12(t):
     path = store.shared_dir(t.spark)
     store.write_metrics(pricing.regression_metrics(t.fx("predictions")), path)
-    return t.spark.read.schema(
+    written = t.spark.read.schema(
         "n long, mae double, mdae double, mape double, smape double, r2 double"
     ).json(path)
+    digits = {"mae": 4, "mdae": 4, "mape": 6, "smape": 6, "r2": 6}
+    return written.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 @query(

@@ -117,7 +117,7 @@ def n2(x: str) -> str:
 TOWN = "kreisfreie stadt|landeshauptstadt|amtsfreie stadt|hansestadt|gemeinde|stadt|markt"
 FOUR = "landeshauptstadt|hansestadt|stadt|kreis"
 NINE = (
-    "landeshauptstadt|verbandsgemeinde|amtsfreie stadt|hansestadt|gemeinde|verband|stadt|kreis|amt"
+    "landeshauptstadt|verbandsgemeinde|amtsfreie stadt|hansestadt|gemeinde|verband|stadt|kreis|amt "
 )
 
 

@@ -30,7 +30,7 @@ BLANKED_SUBSTRINGS = [
     " stadt", " landeshauptstadt", "kreisfreie stadt", "gemeinde", "amt", "stadtteil", "bezirk",
 ]
 NINE_WORDS = [
-    "stadt", "kreis", "hansestadt", "landeshauptstadt", "amtsfreie stadt", "amt",
+    "stadt", "kreis", "hansestadt", "landeshauptstadt", "amtsfreie stadt", "amt ",
     "verbandsgemeinde", "verband", "gemeinde",
 ]
 TRAILING_WORDS = [

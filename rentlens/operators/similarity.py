@@ -61,6 +61,9 @@ def sorted_tokens(c: Column) -> Column:
 
 
 def _segment_count(length: Column, ratio: float) -> Column:
+    if ratio <= 2 / 3:
+        # More segments than letters: empty ones would make everything meet everything.
+        raise ValueError("the segment filter needs a ratio above 2/3")
     edits = F.floor(length * ((1 - ratio) * 2 / ratio) + EPS)
     return (edits + 1).cast("int")
 

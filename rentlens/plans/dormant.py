@@ -1,4 +1,4 @@
-"""Jobs the reference keeps only as commented-out code."""
+"""Older jobs, kept for comparison with the current ones."""
 
 from __future__ import annotations
 
@@ -116,7 +116,7 @@ def join_census_fallback(
 ) -> DataFrame:
     """Census rent by (state, name), else by name alone.
 
-    Names that a state holds twice would multiply listings, which the reference forbids
+    Names that a state holds twice would multiply listings, which must not happen
     with an m:1 check; here such a name has no row of its own and takes the mean.
     """
     keyed = df.withColumn("__city", places.norm_name(F.col(city)))

@@ -149,7 +149,7 @@ def fit_forest(
     text_names: list[str],
     trees: int,
     min_leaf: int,
-    max_depth: int = 15,
+    max_depth: int = 30,
     seed: int = 42,
     target: str = TARGET,
 ) -> PipelineModel:
@@ -172,11 +172,11 @@ def fit_forest(
     return model
 
 
-def fit_basic(train: DataFrame, trees: int = 400, max_depth: int = 15) -> PipelineModel:
+def fit_basic(train: DataFrame, trees: int = 400, max_depth: int = 30) -> PipelineModel:
     return fit_forest(train, BASIC_NUMERIC, BASIC_CATEGORICAL, trees, 1, max_depth)
 
 
-def fit_rich(train: DataFrame, trees: int = 200, max_depth: int = 15) -> PipelineModel:
+def fit_rich(train: DataFrame, trees: int = 200, max_depth: int = 30) -> PipelineModel:
     numeric_names = [c for c in RICH_NUMERIC if c in train.columns]
     text_names = [c for c in RICH_CATEGORICAL if c in train.columns]
     return fit_forest(train, numeric_names, text_names, trees, 2, max_depth)

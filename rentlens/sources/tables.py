@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is not set, as in
-    tests, a temporary one is used.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session, whose executors
+    are this process, may leave it unset and gets a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rentlens-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rentlens-")
     return f"{base.rstrip('/')}/rentlens-{uuid.uuid4().hex}"
 
 
@@ -52,8 +57,10 @@ def export_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) ->
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One metrics row as one JSON object."""
-    metrics.limit(1).write.mode("overwrite").json(path)
+    """One metrics row as one JSON object; more rows are an error."""
+    if len(metrics.take(2)) > 1:
+        raise ValueError("metrics have more than one row")
+    metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -180,3 +180,10 @@ def test_kreis5_falls_back_by_column(spark):
     df = spark.createDataFrame([("K 01001", "x 09162"), (None, "x 09162"), ("ohne", "x 09162")],
                                "geo_krs string, regio2 string")
     assert [r[0] for r in df.select(resolve.kreis5(df)).collect()] == ["01001", "09162", None]
+
+
+def test_a_trailing_amt_stays(spark):
+    from rentlens.functions import places
+
+    names = spark.createDataFrame([("Xyz Amt",), ("Amt Xyz",)], "n string")
+    assert [r[0] for r in names.select(places.nine_words(F.col("n"))).collect()] == ["xyz amt", "xyz"]

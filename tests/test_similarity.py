@@ -106,3 +106,10 @@ def test_match_fuzzy_equals_brute_force(spark, limit):
 
 def resolve_norm(x: str) -> str:
     return " ".join(x.lower().split())
+
+
+def test_ratios_that_the_segments_cannot_serve_are_refused():
+    from rentlens.operators.similarity import _segment_count
+
+    with pytest.raises(ValueError):
+        _segment_count(F.lit(8), 0.6)
