@@ -183,7 +183,5 @@ def test_kreis5_falls_back_by_column(spark):
 
 
 def test_a_trailing_amt_stays(spark):
-    from rentlens.functions import places
-
     names = spark.createDataFrame([("Xyz Amt",), ("Amt Xyz",)], "n string")
     assert [r[0] for r in names.select(places.nine_words(F.col("n"))).collect()] == ["xyz amt", "xyz"]
