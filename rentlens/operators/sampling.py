@@ -19,21 +19,29 @@ def key_hash(key: str) -> Column:
 def seeded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows by hash order; everything when ``n`` is 0 or not below the row count.
 
-    Rows are counted per hash prefix first. Only rows up to the prefix in which the
-    ``n``-th row falls are sorted, so a large ``n`` never sorts the whole table.
+    Rows are counted per hash prefix first. Whole prefixes below the one in which the
+    ``n``-th row falls are kept as they are, and only that one's rows are ranked, so no task
+    sees the sample whatever ``n`` is.
     """
     if not n:
         return df
-    hashed = df.withColumn("__hash", key_hash(key))
-    prefix = F.substring("__hash", 1, PREFIX)
-    buckets = hashed.groupBy(prefix.alias("__prefix")).agg(F.count(F.lit(1)).alias("__n"))
+    hashed = df.withColumn("__hash", key_hash(key)).withColumn(
+        "__prefix", F.substring("__hash", 1, PREFIX)
+    )
+    buckets = hashed.groupBy("__prefix").agg(F.count(F.lit(1)).alias("__n"))
     running = F.sum("__n").over(
         Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
     )
     enough = buckets.withColumn("__upto", running).where(F.col("__upto") >= n)
-    last = enough.agg(F.coalesce(F.min("__prefix"), F.lit("f" * PREFIX))).scalar()
-    near = hashed.where(prefix <= last)
-    return near.orderBy("__hash", key).limit(n).drop("__hash")
+    before = (F.col("__upto") - F.col("__n")).alias("before")
+    edge = enough.agg(F.min(F.struct(F.col("__prefix").alias("prefix"), before)).alias("edge"))
+    last = F.coalesce(edge.select("edge.prefix").scalar(), F.lit("g"))
+    taken = F.coalesce(edge.select("edge.before").scalar(), F.lit(0))
+    whole = hashed.where(F.col("__prefix") < last)
+    rank = F.row_number().over(Window.partitionBy("__prefix").orderBy("__hash", key))
+    part = hashed.where(F.col("__prefix") == last).withColumn("__rank", rank)
+    part = part.where(F.col("__rank") <= F.lit(n) - taken).drop("__rank")
+    return whole.unionByName(part).drop("__hash", "__prefix")
 
 
 def split(df: DataFrame, key: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:

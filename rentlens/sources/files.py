@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -71,15 +72,16 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 def scan_csv_robust(spark: SparkSession, path: str, sample_lines: int = 20) -> DataFrame:
     """Separator and encoding found out, no header, all text, overlong lines skipped.
 
-    Columns are ``col_0 …`` as many as the first line has; short lines are filled up with
-    null. ``line`` orders the rows as in the file.
+    Columns are ``col_0 …`` as many as most lines of the whole file have, so a title line
+    above a table does not cut it; short lines are filled up with null. ``line`` orders the
+    rows as in the file; ``overlong_lines`` counts what is skipped.
     """
     encoding = detect_encoding(spark, path)
     reader = spark.read.option("encoding", encoding).option("escape", '"')
     text = spark.read.text(path).select(_decoded(F.col("value"), encoding).alias("value"))
     sample = [r["value"].lstrip(BOM) for r in text.take(sample_lines)]
     sep = sniff_separator(sample)
-    width = len(next(csv.reader(sample[:1], delimiter=sep), []))
+    width = common_width(text, sep)
     names = [f"col_{i}" for i in range(width)]
     raw = reader.schema(strings([*names, "overflow"])).option("sep", sep).csv(path)
     ordered = raw.withColumn("line", file_order())
@@ -88,6 +90,25 @@ def scan_csv_robust(spark: SparkSession, path: str, sample_lines: int = 20) -> D
     return kept.withColumn("col_0", first)
 
 
+def _width(sep: str) -> Column:
+    """Cells of a line; separators inside quotes do not count."""
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    return F.size(F.split(bare, re.escape(sep), -1))
+
+
+def common_width(lines: DataFrame, sep: str) -> int:
+    """The number of cells that most lines have, the larger one of equals; 0 without lines."""
+    filled = lines.where(F.trim("value") != "")
+    widths = filled.groupBy(_width(sep).alias("width")).count()
+    row = widths.agg(F.max(F.struct("count", "width")).alias("top")).first()
+    return row["top"]["width"] if row["top"] else 0
+
+
+def overlong_lines(lines: DataFrame, sep: str) -> int:
+    """How many lines (column ``value``) have more cells than most lines."""
+    return lines.where(_width(sep) > common_width(lines, sep)).count()
+
+
 def _decoded(c: Column, encoding: str) -> Column:
     return c if encoding == "UTF-8" else F.decode(c.cast("binary"), encoding)
 

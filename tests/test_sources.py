@@ -47,6 +47,16 @@ def test_robust_scan(spark, tmp_path, encoding, sep):
     assert table.count() == 3
 
 
+def test_a_title_line_does_not_cut_the_table(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "Bericht\nGKZ;Name;Miete\n01001000;A;7\n01002000;\"B;b\";8;9;9\n01003000;C;9\n", "utf-8")
+    got = files.scan_csv_robust(spark, path)
+    assert [tuple(r)[:3] for r in got.orderBy("line").collect()] == [
+        ("Bericht", None, None), ("GKZ", "Name", "Miete"), ("01001000", "A", "7"), ("01003000", "C", "9"),
+    ]
+    assert files.overlong_lines(spark.read.text(path), ";") == 1
+    assert files.guess_header(got, "col_0", "line").columns[:3] == ["GKZ", "Name", "Miete"]
+
+
 def test_guess_header_without_data_or_header(spark):
     none = spark.createDataFrame([(1, "a"), (2, "b")], "n int, col_0 string")
     assert files.guess_header(none, "col_0", "n").count() == 2
