@@ -1,9 +1,9 @@
 """Joins against lookup tables that stay whole and balanced at any size.
 
 A lookup side is measured first. Within the limit it is broadcast, so the big side is
-never shuffled. Beyond it the join runs as a shuffle in which keys holding an unusual
-share of the big side are salted: their rows spread over many tasks and only the lookup
-rows of those few keys are copied.
+never shuffled. Beyond it the join runs as a shuffle in which keys with more rows than one
+task should hold are salted: each spreads over as many tasks as its counted rows need, and
+only the lookup rows of those keys are copied.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
-# A key is hot above 1/HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot keys.
-HOT_PARTS = 1000
-SALTS = 64
+# Rows of one key that a task takes. A key with more is hot, so hot keys are few: at most one
+# for so many rows of the table.
+ROWS_PER_TASK = 500_000
 
 
 def measured_bytes(frames: list[DataFrame]) -> list[int]:
@@ -41,9 +41,12 @@ def lookup_join(
     *,
     null_safe: bool = False,
     limit: int = BROADCAST_LIMIT,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join ``right`` to ``left`` on equally named columns (left, inner, semi or anti)."""
-    return lookup_joins(left, [(right, on)], how, null_safe=null_safe, limit=limit)
+    return lookup_joins(
+        left, [(right, on)], how, null_safe=null_safe, limit=limit, rows_per_task=rows_per_task
+    )
 
 
 def lookup_joins(
@@ -54,6 +57,7 @@ def lookup_joins(
     null_safe: bool = False,
     limit: int = BROADCAST_LIMIT,
     keep: bool = True,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Several lookups on one big side, measured together in a single job.
 
@@ -70,9 +74,9 @@ def lookup_joins(
         if size <= limit:
             left = _join(left, F.broadcast(right), on, how, null_safe)
         else:
-            if keep:
-                right.unpersist()
-            left = salted_join(left, right, on, how, null_safe=null_safe, counted=original)
+            left = salted_join(
+                left, right, on, how, null_safe=null_safe, counted=original, rows_per_task=rows_per_task
+            )
     return left
 
 
@@ -98,46 +102,35 @@ def salted_join(
     how: str = "left",
     *,
     null_safe: bool = False,
-    salts: int = SALTS,
+    rows_per_task: int = ROWS_PER_TASK,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join whose hot keys on the left are spread over ``salts`` tasks.
+    """Shuffle join whose hot keys on the left spread over as many tasks as they need.
 
-    Hot keys are found by one counting job over ``counted`` (by default the left side);
-    there are fewer than HOT_PARTS of them, so they can sit in the plan as a small table
-    and the left side appears in the plan only once.
+    Hot keys, the null key among them, are found by one counting job over ``counted`` (by
+    default the left side). They sit in the plan as a small table, so the left side appears
+    in the plan only once.
     """
     base = counted if counted is not None else left
-    hot = hot_keys(base, on)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    salt = F.when(F.col("__hot"), spread)
-    if not null_safe:
-        # A null key has no partner, so its rows may go anywhere.
-        salt = salt.when(_any_null(on), spread)
+    hot = hot_keys(base, on, rows_per_task)
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    salt = F.when(F.col("__salts").isNotNull(), F.pmod(spread, F.col("__salts"))).otherwise(0)
     salted_left = (
-        _join(left, hot, on, "left", True).withColumn("__salt", salt.otherwise(0)).drop("__hot")
-    )
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+        _join(left, hot, on, "left", True).withColumn("__salt", salt.cast("int")).drop("__salts")
     )
+    copies = F.sequence(F.lit(0), (F.coalesce("__salts", F.lit(1)) - 1).cast("int"))
     salted_right = (
-        _join(right, hot, on, "left", True).withColumn("__salt", F.explode(copies)).drop("__hot")
+        _join(right, hot, on, "left", True).withColumn("__salt", F.explode(copies)).drop("__salts")
     )
     return _join(salted_left, salted_right, [*on, "__salt"], how, null_safe).drop("__salt")
 
 
-def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
-    """Keys that hold more than 1/HOT_PARTS of all rows, as a broadcast table with a mark."""
+def hot_keys(df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows and their ``__salts``, as a broadcast table."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-    total = counts.agg(F.sum("__rows")).scalar()
-    found = counts.where(F.col("__rows") * HOT_PARTS > total).select(*on).collect()
-    schema = df.select(*on).schema
-    table = df.sparkSession.createDataFrame(found, schema)
-    return F.broadcast(table.withColumn("__hot", F.lit(True)))
-
-
-def _any_null(on: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salts = F.ceil(F.col("__rows") / rows_per_task).cast("long").alias("__salts")
+    hot = counts.where(F.col("__rows") > rows_per_task).select(*on, salts)
+    return F.broadcast(df.sparkSession.createDataFrame(hot.collect(), hot.schema))
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, null_safe: bool) -> DataFrame:

@@ -31,7 +31,7 @@ def sides(spark):
 def test_salted_equals_broadcast(sides, how, null_safe):
     left, right = sides
     small = joins.lookup_join(left, right, ["k"], how, null_safe=null_safe)
-    large = joins.lookup_join(left, right, ["k"], how, null_safe=null_safe, limit=0)
+    large = joins.lookup_join(left, right, ["k"], how, null_safe=null_safe, limit=0, rows_per_task=50)
     order = sorted(small.columns)
     assert rows(small.select(order)) == rows(large.select(order))
 
@@ -52,11 +52,15 @@ def test_lookup_measures_before_broadcasting(sides):
     assert "__salt" in salted.toString()
 
 
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(5000).withColumn("k", F.col("id") % 2500)
-    total = df.count()
-    hot = df.groupBy("k").count().where(F.col("count") * joins.HOT_PARTS > total)
-    assert hot.count() < joins.HOT_PARTS
+def test_salts_follow_the_counted_rows(spark):
+    """One key with 30 % of the rows, one just below the threshold: no task gets much more."""
+    keys = ["hot"] * 3000 + ["warm"] * 199 + [f"k{i}" for i in range(6801)]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k string")
+    hot = {r["k"]: r["__salts"] for r in joins.hot_keys(df, ["k"], 200).collect()}
+    assert hot == {"hot": 15}
+    salt = F.pmod(F.xxhash64("id", "k"), F.lit(15))
+    largest = df.where("k = 'hot'").groupBy(salt.alias("s")).count().agg(F.max("count")).first()[0]
+    assert largest <= 300
 
 
 def test_by_distinct_keeps_rows(spark, sides):
