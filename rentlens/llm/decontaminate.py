@@ -101,7 +101,9 @@ class Benchmark:
         self.windows = sets.select("window", "items_id")
         self.items = staged(sets.groupBy("items_id").agg(F.first("items").alias("items")))
         self.hashes = staged(
-            self.with_hashes(base).select(F.explode("kept").alias("h")).select("h.gram", "h.hash").distinct()
+            # Outer: the filter that a plain explode adds would compute the hashes over again.
+            self.with_hashes(base).select(F.explode_outer("kept").alias("h"))
+            .where("h is not null").select("h.gram", "h.hash").distinct()
         )
 
     def with_hashes(self, df: DataFrame) -> DataFrame:
@@ -149,9 +151,10 @@ def mark(
     worded = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), item_words(F.col(text)).alias("words")
     )
-    spread = bench.with_hashes(worded).select(
-        "row", "key", F.size("words").cast("long").alias("n_words"),
-        F.posexplode_outer(F.transform("kept", around)).alias("nth", "h"),
+    # Counted before the rows are spread, which then carry no array of words.
+    counted = bench.with_hashes(worded.withColumn("n_words", F.size("words").cast("long")))
+    spread = counted.select("row", "key", "n_words", F.transform("kept", around).alias("hits")).select(
+        "row", "key", "n_words", F.posexplode_outer("hits").alias("nth", "h")
     ).select("row", "key", "n_words", "nth", "h.*")
     known = bench.hashes.withColumn("hit", F.lit(True))
     met = spread.join(_small(known, broadcast_rows), ["gram", "hash"], "left")
