@@ -214,7 +214,7 @@ def windows(
             yield x[part], y[part], keep[part][:, :, None], real[part]
 
 
-def score(model: Gru, texts: list[np.ndarray], streams: int = 512) -> np.ndarray:
+def score(model: Gru, texts: list[np.ndarray], streams: int = 768) -> np.ndarray:
     """Natural log probability of every text and its end, by the ids alone."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     dealt = packed(lengths, streams)
@@ -242,7 +242,7 @@ class Trainer:
         self.first = {k: np.zeros_like(x) for k, x in model.a.items()}
         self.second = {k: np.zeros_like(x) for k, x in model.a.items()}
 
-    def learn(self, texts: list[np.ndarray], streams: int = 128) -> int:
+    def learn(self, texts: list[np.ndarray], streams: int = 256) -> int:
         """One pass; returns the tokens learned from."""
         model, tokens = self.model, 0
         dealt = packed(np.array([len(t) + 1 for t in texts], np.int64), streams, in_order=True)

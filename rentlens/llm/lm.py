@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,7 @@ def _learner(flat, model: Gru, words):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = tokens(text)
-                texts.append(np.fromiter((ids.get(w, own.other) for w in found), np.int64, len(found)))
+                texts.append(np.fromiter(map(ids.get, found, repeat(own.other)), np.int64, len(found)))
                 held += len(found)
                 if held > TOKEN_BUFFER:
                     learned += trainer.learn(texts)
@@ -186,7 +187,7 @@ def _scorer(flat, model: Gru, words, counts, end_count: int):
         for batch in batches:
             for key, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = tokens(text)
-                rank = np.fromiter((ranks.get(w, -1) for w in found), np.int64, len(found))
+                rank = np.fromiter(map(ranks.get, found, repeat(-1)), np.int64, len(found))
                 rare = Counter(found[i] for i in np.flatnonzero(rank < 0).tolist())
                 known = logs[rank]
                 beyond = rank >= own.words
