@@ -180,6 +180,20 @@ def test_licences(spark):
     assert licences.scan(table.limit(0)).count() == 0
 
 
+def test_licences_wrapped_short_and_inside_prose(spark):
+    grant = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation"
+             " files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights")
+    clause = "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that the following\n conditions are met:"
+    prose = "\n".join(f"the river {i} runs past the old mill and this work of the software town is done under the bridge" for i in range(40))
+    loose = "a copy was lost; this file of the year and the name of the town, no part of the software"
+    rows = [(1, "Copyright 2020 River Ltd.\nAll rights reserved."), (2, "title\n\n \n" + grant + "\n\nend"), (3, clause),
+            (4, f"{prose}\nReleased under the MIT License.\n{prose}\nLicensed under CC BY-NC 4.0.\n{prose}"), (5, prose), (6, loose), (7, None), (8, " \n\n ")]
+    rows += [(100 + i, f"{loose} {i} this work {i % 7} of the software") for i in range(200)] + [(1, rows[0][1])]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [
+        (1, 0, "proprietary"), (1, 0, "proprietary"), (2, 1, "mit"), (3, 0, "bsd"), (4, 0, "cc-by-nc"), (4, 0, "mit")]
+
+
 def plain_hits(text, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     own, hit, found = cut(text), set(), set()
