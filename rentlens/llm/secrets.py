@@ -4,8 +4,9 @@ Everything is a column expression. Two order-1 models over folded characters, on
 strings and one of ordinary identifiers, score every long run of token characters; the sum
 of log ratios is a likelihood ratio, so an ordinary identifier passes a threshold ``t`` with
 probability ``exp(-t)`` at most under its own model. The labelled samples come from the
-documents: strings found by the exact patterns are random, the words of a bounded sample of
-documents are ordinary.
+documents: distinct strings found by the exact patterns are random, each kind with the same
+weight beside a fixed share of uniform strings; the words of a bounded sample of documents are
+ordinary.
 """
 
 from __future__ import annotations
@@ -50,8 +51,9 @@ RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 SAMPLE_DOCS = 2000
 ORDINARY = r"[A-Za-z0-9_]*[A-Za-z][A-Za-z0-9_]+"
 
-#: Weight of a uniform prior in each state of the random model, and of the ordinary one.
-RANDOM_PRIOR, ORDINARY_PRIOR = 20.0, 0.5
+#: Share of the uniform part in each state of the random model, at every size of the corpus,
+#: and weight of a uniform prior in each state of the ordinary one.
+UNIFORM_SHARE, ORDINARY_PRIOR = 0.8, 0.5
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -101,7 +103,7 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
-    """Counts of ``(state, next)`` over a column ``s`` of folded strings: at most 42 x 41 rows."""
+    """Counts of ``(state, next)`` by ``kind`` over folded strings ``s``: at most 42 x 41 rows a kind."""
     pair = F.expr(
         "transform(sequence(1, length(s)), i -> struct("
         f"if(i = 1, 0, instr('{ALPHABET}', substr(s, i - 1, 1))) AS a,"
@@ -109,8 +111,8 @@ def _pairs(strings: DataFrame) -> DataFrame:
     )
     return (
         strings.where(F.length("s") > 0)
-        .select(F.explode(pair).alias("p"))
-        .groupBy("p.a", "p.b")
+        .select("kind", F.explode(pair).alias("p"))
+        .groupBy("kind", "p.a", "p.b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -123,25 +125,41 @@ def _logs(counts: dict[tuple[int, int], int], prior: float) -> list[list[float]]
     return out
 
 
+def _mixed_logs(kinds: list[dict[tuple[int, int], int]], uniform: float) -> list[list[float]]:
+    """Logs of a mixture: every kind weighs the same, ``uniform`` is the uniform share of a state."""
+    sums = [sum(counts.values()) for counts in kinds]
+    out = []
+    for a in range(STATES):
+        row = [sum(c.get((a, b), 0) / n for c, n in zip(kinds, sums) if n) for b in range(1, STATES)]
+        total = sum(row)
+        even = 1 / len(row)
+        out.append([math.log(uniform * even + (1 - uniform) * (x / total if total else even)) for x in row])
+    return out
+
+
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log ratios random / ordinary of every ``(state, next)``, row by row.
 
-    Random strings: every string in ``docs`` that an exact pattern found. Ordinary ones: the
-    identifiers of about ``sample_docs`` documents, with those strings taken out. Without
-    any label the priors remain. Only the counts of character pairs reach the driver.
+    Random strings: every distinct string in ``docs`` that an exact pattern found, so copies
+    and the size of the corpus do not shift the model. Ordinary ones: the identifiers of about
+    ``sample_docs`` documents, with those strings taken out. Without any label the uniform
+    part and the prior remain. Only the counts of character pairs reach the driver.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(whole.alias("t"))
-    values = F.concat(
-        F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)),
-        F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)),
-        F.regexp_extract_all("t", F.lit(LONG_HEX), F.lit(0)),
-    )
+
+    def found(kind: str, pattern: str, group: int) -> Column:
+        strings = F.regexp_extract_all("t", F.lit(pattern), F.lit(group))
+        return F.transform(strings, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+
+    values = F.concat(found("assign", ASSIGN, 2), found("access", ACCESS, 0), found("hex", LONG_HEX, 0))
     labelled = (
         texts.where(F.col("t").rlike(ASSIGN) | F.col("t").rlike(ACCESS) | F.col("t").rlike(LONG_HEX))
-        .select(F.explode(values).alias("s"))
+        .select(F.explode(values).alias("v"))
+        .select("v.kind", "v.s")
         .where(F.length("s") >= LEAST_VALUE)
-        .select(F.regexp_replace(lower_az(F.col("s")), r"[^a-z0-9+/_=-]", "").alias("s"))
+        .select("kind", F.regexp_replace(lower_az(F.col("s")), r"[^a-z0-9+/_=-]", "").alias("s"))
+        .distinct()
     )
     rate = min(1.0, sample_docs / max(1, docs.count()))
     drawn = texts.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(rate * 1_000_000))
@@ -151,14 +169,13 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
     ordinary = (
         drawn.select(cleaned.alias("t"))
         .select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("s"))
-        .select(lower_az(F.col("s")).alias("s"))
-    )
-    both = _pairs(labelled).withColumn("random", F.lit(True)).union(
-        _pairs(ordinary).withColumn("random", F.lit(False))
+        .select(F.lit("ordinary").alias("kind"), lower_az(F.col("s")).alias("s"))
     )
-    rows = both.collect()
-    random = _logs({(r["a"], r["b"]): r["n"] for r in rows if r["random"]}, RANDOM_PRIOR)
-    plain = _logs({(r["a"], r["b"]): r["n"] for r in rows if not r["random"]}, ORDINARY_PRIOR)
+    counts: dict[str, dict[tuple[int, int], int]] = {k: {} for k in [*KINDS[:3], "ordinary"]}
+    for r in _pairs(labelled).union(_pairs(ordinary)).collect():
+        counts[r["kind"]][r["a"], r["b"]] = r["n"]
+    random = _mixed_logs([counts[k] for k in KINDS[:3]], UNIFORM_SHARE)
+    plain = _logs(counts["ordinary"], ORDINARY_PRIOR)
     return [x - y for a, b in zip(random, plain) for x, y in zip(a, b)]
 
 

@@ -249,6 +249,26 @@ def test_secrets_equal_plain_patterns_and_models_add(spark):
     assert secrets.scan(no_docs(spark)).count() == 0
 
 
+def secret_corpus(spark, hashes):
+    """Ordinary names, hashes of their own and copied, and texts under test from 1,000,000 on."""
+    rng = random.Random(7)
+    some = ["river_mill_count", "read_the_next_line", "update_user_profile", "northern bridge over road", "set_default_value_of_table", "page 12 of 1998", "utf8_to_base64", "x86_64 release 3207", "table_2024_rows_5"]
+    rows = [(i, " ".join(rng.choice(some) for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, "commit " + "".join(rng.choice("0123456789abcdef") for _ in range(40))) for i in range(hashes)]
+    rows += [(500_000 + i, "password=changeme_please") for i in range(hashes)]
+    return rows, rng
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_random_strings_are_found_however_many_hashes_there_are(spark):
+    rows, rng = secret_corpus(spark, 6000)
+    rows += [(1_000_000 + i, "".join(rng.choice(LETTERS) for _ in range(24))) for i in range(200)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000000")
+    assert got.where("n_model = 1").count() >= 195
+
+
 def test_redaction_keeps_rows_and_other_text(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark)).collect() if r["doc_id"] not in (None, 11)}
     plain = dict(texts())
