@@ -1,9 +1,10 @@
 """Secret scans: exact patterns, and character Markov models for strings without a pattern.
 
 Everything is a column expression. Two order-1 models over folded characters, one of random
-strings and one of ordinary identifiers, score every long run of token characters; the sum
-of log ratios is a likelihood ratio, so an ordinary identifier passes a threshold ``t`` with
-probability ``exp(-t)`` at most under its own model. The labelled samples come from the
+strings and one of ordinary identifiers, score every long run of token characters between the
+exact matches, whole and by its best stretches; the sum of log ratios is a likelihood ratio, so
+from each of its characters on an ordinary identifier passes a threshold ``t`` with probability
+``exp(-t)`` at most under its own model. The labelled samples come from the
 documents: distinct strings found by the exact patterns are random, each kind with the same
 weight beside a fixed share of uniform strings; the words of a bounded sample of documents are
 ordinary.
@@ -12,6 +13,7 @@ ordinary.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +44,13 @@ KINDS = ["assign", "access", "hex", "model"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 
-#: Shortest run that the models judge, and how often an ordinary one may pass.
+#: Shortest run that the models judge, and how often an ordinary one may pass, by its whole
+#: length or from any one of its characters on.
 LEAST_RUN = 20
 FALSE_RATE = 1e-9
 RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
+#: A stretch of a run is taken to the nearest separators on both sides.
+UNCUT, SEPARATORS = "^[^/_=-]*", "^[/_=-]*"
 
 #: About so many documents are drawn, by a hash, to learn ordinary identifiers from.
 SAMPLE_DOCS = 2000
@@ -56,18 +61,26 @@ ORDINARY = r"[A-Za-z0-9_]*[A-Za-z][A-Za-z0-9_]+"
 UNIFORM_SHARE, ORDINARY_PRIOR = 0.8, 0.5
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+PARTS = "array<struct<low:int,high:int>>"
 
 
-def _placed(text: Column, pattern: str, rank: int, keep: Column | None = None) -> Column:
+def _placed(
+    text: Column, pattern: str, rank: int, keep: Column | None = None, inside: Column | None = None
+) -> Column:
     """Spans of all matches, from the lengths of the matches and of the text between them.
 
-    ``keep``: an array of booleans, one for each match, that says which ones stay.
+    ``keep``: an array of booleans, one for each match, that says which ones stay. ``inside``:
+    instead, an array of the parts ``(low, high)`` of each match that are spans.
     """
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    flags = F.transform(hits, lambda _: F.lit(True)) if keep is None else keep
-    parts = F.zip_with(F.arrays_zip(hits.alias("hit"), flags.alias("keep")), gaps, lambda m, g: F.struct(
-        g.alias("gap"), m["hit"].alias("hit"), m["keep"].alias("keep")
+    if inside is None:
+        flags = F.transform(hits, lambda _: F.lit(True)) if keep is None else keep
+        whole = F.zip_with(hits, flags, lambda h, k: F.when(
+            k, F.array(F.struct(F.lit(0).alias("low"), h.alias("high")))
+        ).otherwise(F.array().cast(PARTS)))
+    parts = F.zip_with(F.arrays_zip(hits.alias("hit"), (whole if inside is None else inside).alias("inside")), gaps, lambda m, g: F.struct(
+        g.alias("gap"), m["hit"].alias("hit"), m["inside"].alias("inside")
     ))
     # The text after the last match has no match of its own.
     parts = F.filter(parts, lambda p: p["hit"].isNotNull())
@@ -76,9 +89,10 @@ def _placed(text: Column, pattern: str, rank: int, keep: Column | None = None) -
     def step(acc: Column, p: Column) -> Column:
         begin = acc["pos"] + p["gap"]
         end = begin + p["hit"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        grown = F.concat(acc["spans"], F.array(span))
-        return F.struct(end.alias("pos"), F.when(p["keep"], grown).otherwise(acc["spans"]).alias("spans"))
+        own = F.transform(p["inside"], lambda x: F.struct(
+            (begin + x["low"]).alias("start"), F.lit(rank).alias("rank"), (begin + x["high"]).alias("end")
+        ))
+        return F.struct(end.alias("pos"), F.concat(acc["spans"], own).alias("spans"))
 
     spans = F.aggregate(parts, start, step, lambda acc: acc["spans"])
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
@@ -179,19 +193,83 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
     return [x - y for a, b in zip(random, plain) for x, y in zip(a, b)]
 
 
-def log_ratio(run: Column, ratios: list[float]) -> Column:
-    """Sum of log ratios along a run of token characters."""
+def random_parts(run: Column, ratios: list[float], least: float) -> Column:
+    """Parts ``(low, high)`` of a run of token characters that the models call random.
+
+    The whole run if its sum of log ratios reaches ``least``; else every stretch whose sum
+    does, by a running sum that starts anew below 0 and after a fall of ``least`` from its
+    peak, so no stretch is lost to ordinary text before, between or behind. A stretch is
+    taken to the nearest separators and counts from ``LEAST_RUN`` characters on.
+    """
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
     letters = F.filter(F.split(lower_az(run), ""), lambda c: c != "")
     codes = F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c))
     width = STATES - 1
 
-    def step(acc: Column, code: Column) -> Column:
+    def add(acc: Column, code: Column) -> Column:
         gain = F.element_at(table, acc["last"] * width + code)
         return F.struct((acc["sum"] + gain).alias("sum"), code.alias("last"))
 
-    first = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last"))
-    return F.aggregate(codes, first, step, lambda acc: acc["sum"])
+    total = F.aggregate(codes, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last")), add, lambda acc: acc["sum"])
+
+    none = F.array().cast(PARTS)
+
+    def ended(acc: Column) -> Column:
+        part = F.array(F.struct(acc["low"].alias("low"), acc["high"].alias("high")))
+        return F.when(acc["peak"] >= least, F.concat(acc["parts"], part)).otherwise(acc["parts"])
+
+    def step(acc: Column, code: Column) -> Column:
+        now = acc["sum"] + F.element_at(table, acc["last"] * width + code)
+        pos = acc["pos"] + 1
+        over = (now <= 0) | ((acc["peak"] >= least) & (now <= acc["peak"] - least))
+        higher = now > acc["peak"]
+        return F.struct(
+            F.when(over, 0.0).otherwise(now).alias("sum"),
+            code.alias("last"),
+            pos.alias("pos"),
+            F.when(over, pos).otherwise(acc["low"]).alias("low"),
+            F.when(over, 0.0).when(higher, now).otherwise(acc["peak"]).alias("peak"),
+            F.when(over | higher, pos).otherwise(acc["high"]).alias("high"),
+            F.when(over, ended(acc)).otherwise(acc["parts"]).alias("parts"),
+        )
+
+    zero = F.lit(0)
+    first = F.struct(
+        F.lit(0.0).alias("sum"), zero.alias("last"), zero.alias("pos"), zero.alias("low"),
+        F.lit(0.0).alias("peak"), zero.alias("high"), none.alias("parts"),
+    )
+    stretches = F.aggregate(codes, first, step, ended)
+
+    def bare(part: Column) -> Column:
+        own = F.substr(run, part["low"] + 1, part["high"] - part["low"])
+        return F.struct(
+            (part["low"] + F.length(F.regexp_extract(own, SEPARATORS, 0))).alias("low"),
+            (part["high"] - F.length(F.regexp_extract(F.reverse(own), SEPARATORS, 0))).alias("high"),
+        )
+
+    def uncut(part: Column) -> Column:
+        before = F.reverse(F.substr(run, F.lit(1), part["low"]))
+        behind = F.substr(run, part["high"] + 1)
+        return F.struct(
+            (part["low"] - F.length(F.regexp_extract(before, UNCUT, 0))).alias("low"),
+            (part["high"] + F.length(F.regexp_extract(behind, UNCUT, 0))).alias("high"),
+        )
+
+    long = F.filter(F.transform(F.transform(stretches, bare), uncut), lambda p: p["high"] - p["low"] >= LEAST_RUN)
+    all_of_it = F.array(F.struct(F.lit(0).alias("low"), F.length(run).alias("high")))
+    return F.when(total >= least, all_of_it).otherwise(F.array_distinct(long))
+
+
+def _replaced(whole: Column, spans: str, mark: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``mark(span, pos)`` for every span, ``pos`` being the end of those before."""
+    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substr(whole, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
+        out = F.concat(acc["out"], before, mark(s, acc["pos"]))
+        return F.struct(out.alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))
+
+    return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substr(whole, acc["pos"] + 1)))
 
 
 def with_spans(
@@ -199,20 +277,20 @@ def with_spans(
 ) -> DataFrame:
     """Adds ``__base`` and ``__spans``: sorted arrays of ``(start, rank, end)``.
 
-    A run that the models call random is a span unless it overlaps one of the exact ones.
+    Runs are cut at the exact matches; what the models call random in the pieces is a span.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    least = F.lit(-math.log(false_rate))
-    random = F.transform(
-        F.regexp_extract_all(whole, F.lit(RUN), F.lit(0)), lambda r: log_ratio(r, ratios) >= least
+    least = -math.log(false_rate)
+    based = with_base_spans(df, text).withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
+    # Blanks in place of the exact matches: the places of the rest stay.
+    blank = _replaced(whole, "__base", lambda s, pos: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], pos), F.lit(0))))
+    rest = based.withColumn("__rest", F.when(F.size("__base") > 0, blank).otherwise(whole))
+    inside = F.transform(
+        F.regexp_extract_all("__rest", F.lit(RUN), F.lit(0)), lambda r: random_parts(r, ratios, least)
     )
-    based = with_base_spans(df, text).withColumn("__model", _placed(whole, RUN, 3, random))
-    joined = based.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    free = F.filter(
-        "__model",
-        lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
-    )
-    return joined.withColumn("__free", free).withColumn("__spans", F.array_sort(F.concat("__base", "__free")))
+    free = _placed(F.col("__rest"), RUN, 3, inside=inside)
+    joined = rest.withColumn("__free", free)
+    return joined.withColumn("__spans", F.array_sort(F.concat("__base", "__free")))
 
 
 def _told(spans: str) -> Column:
@@ -248,20 +326,10 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "<secret>") -> Da
     All rows and columns are kept, ``n_chars`` too unless the text changed.
     """
     ratios = train(docs, text)
-    helpers = ["__assign", "__access", "__hex", "__model", "__base", "__free", "__spans"]
+    helpers = ["__assign", "__access", "__hex", "__rest", "__base", "__free", "__spans"]
     found = with_spans(without_clashes(docs, helpers), ratios, text)
     whole = F.col(text)
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(whole, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        fresh = s["start"] >= acc["pos"]
-        out = F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))
-
-    rebuilt = F.aggregate(
-        "__spans", first, step, lambda acc: F.concat(acc["out"], F.substr(whole, acc["pos"] + 1))
-    )
+    rebuilt = _replaced(whole, "__spans", lambda s, pos: F.when(s["start"] >= pos, F.lit(mark)).otherwise(""))
     changed = found.withColumn(text, F.when(F.size("__spans") > 0, rebuilt).otherwise(whole))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
