@@ -108,18 +108,22 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, sample: int = SAMPLE_LABELS) -> Classifier:
     """Ridge logistic regression by Newton's method on about ``sample`` labelled documents.
 
-    Several labels of a key are averaged; null keys and labels are left out. Without labels
-    of both kinds only the prior remains.
+    Several labels of a key are averaged, and so are the features of its rows: a key counts
+    once, however often it is repeated. Null keys and labels are left out. Without labels of
+    both kinds only the prior remains.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     marks = staged(marks.groupBy(F.col(key).alias("key")).agg(F.avg(label).alias("mark")))
     rate = min(1.0, sample / max(1, marks.count()))
     drawn = marks.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    means = [F.avg(F.col("x")[i]) for i in range(len(features(b"-")))]
     rows = (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        # About ``sample`` rows at most, by the draw above.
         .join(F.broadcast(drawn), "key")
-        .select(feature_column(F.col("text")).alias("x"), "mark")
+        .select("key", "mark", feature_column(F.col("text")).alias("x"))
+        # Summed where the rows are, so about ``sample`` rows at most leave, by the draw above.
+        .groupBy("key", "mark")
+        .agg(F.when(F.count("x") > 0, F.array(*means)).alias("x"))
         .collect()
     )
     y = np.array([float(r["mark"] >= 0.5) for r in rows])

@@ -148,6 +148,16 @@ def quality_tables(spark):
     return table, spark.createDataFrame([*marks, (None, 1), (3, None)], "doc_id long, quality int")
 
 
+def test_quality_fit_counts_a_repeated_key_once(spark):
+    table, labels = quality_tables(spark)
+    names = {"key": "doc_id", "text": "text", "label": "quality"}
+    once = quality.fit(table, labels, **names)
+    repeated = table.where("doc_id = 4").crossJoin(spark.range(3000)).drop("id")
+    got = quality.fit(table.unionByName(repeated), labels, **names)
+    assert got.prior == once.prior
+    assert got.weights == pytest.approx(once.weights, abs=1e-6)
+
+
 def test_quality_on_held_out_documents(spark):
     table, labels = quality_tables(spark)
     site = {"host": F.col("source"), "path": F.col("lang")}
