@@ -79,3 +79,44 @@ p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLES["op13_filter_interaction_audit"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    [len(words) < 200,
+     100 * len(list_distinct(words)) < 50 * len(words),
+     100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text),
+     regexp_matches(text, '[#$%&*|]'),
+     coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o,
+    array_to_string(list_transform([a.i, b.i, c.i, d.i, e.i], lambda k: chr((64 + k)::INT)), '') AS filter_order
+  FROM x a, x b, x c, x d, x e
+  WHERE b.i <> a.i AND c.i NOT IN (a.i, b.i) AND d.i NOT IN (a.i, b.i, c.i) AND e.i NOT IN (a.i, b.i, c.i, d.i)),
+s AS (SELECT filter_order, i AS step, o[i] AS own, o[1 : i - 1] AS earlier FROM o, x),
+m AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS here,
+    len([k FOR k IN earlier IF fails[k]]) > 0 AS gone,
+    len([k FOR k IN [1, 2, 3, 4, 5] IF fails[k]]) AS n_fails
+  FROM c, s),
+r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT gone AND NOT here), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND here), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND here), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (here AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND here AND good = 1), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (NOT gone AND here AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM m GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import decontaminate, html, licences, lm, mixing, quality, secrets, simhash, tokencount, vafile
+from rentlens.llm import (
+    decontaminate,
+    filteraudit,
+    html,
+    licences,
+    lm,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    tokencount,
+    vafile,
+)
 from rentlens.llm.common import table
 from rentlens.llm.oracles import ORACLES
 
@@ -76,3 +88,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
