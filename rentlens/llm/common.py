@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,3 +64,23 @@ def without_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     """Columns whose names the operator itself uses are left out (any letter case)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "__rank") -> DataFrame:
+    """Adds the place of every row from 0 in an order, without one task for all.
+
+    Rows are range-partitioned; each partition numbers its own rows and adds the rows of the
+    partitions before it.
+    """
+    parts = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("__part").count().select(
+        "__part", F.coalesce(before, F.lit(0)).alias("__before")
+    )
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return (
+        parts.withColumn("__own", own)
+        .join(F.broadcast(offsets), "__part")
+        .withColumn(name, F.col("__own") - 1 + F.col("__before"))
+        .drop("__own", "__before", "__part")
+    )

@@ -120,3 +120,27 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM r
 """
+
+ORACLES["op12_hard_negatives"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.row AS a_row, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+    list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.row <> a.row AND len(a.v) = len(c.v)),
+p AS (
+  SELECT a_row, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY a_row ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE same QUALIFY place <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score,
+    (row_number() OVER (PARTITION BY p.a_row, place ORDER BY score DESC, s.vec_id))::INT AS rank
+  FROM p JOIN s ON s.a_row = p.a_row AND NOT s.same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""

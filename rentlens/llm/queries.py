@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from rentlens.llm import (
     decontaminate,
     filteraudit,
+    hardnegatives,
     html,
     licences,
     lm,
     mixing,
     quality,
     secrets,
+    shards,
     simhash,
     tokencount,
     vafile,
@@ -93,3 +95,15 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10)
+    return hardnegatives.mine(rows.withColumn("label", F.when(F.col("label").isNotNull(), F.coalesce(moved, "label"))))
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.place(table(spark, sf_dir, "documents"))
