@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rentlens.catalog.fixtures import Tables, oracle_text
+from rentlens.operators.frames import owned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,13 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # What the job keeps lives as long as its result.
+            with owned() as owner:
+                return owner.until(fn(Tables(spark, sf_dir)))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = oracle_text(sql)
         return fn

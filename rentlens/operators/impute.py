@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rentlens.operators.columns import quoted
 from rentlens.operators.joins import lookup_join
-from rentlens.operators.quantiles import exact_median
+from rentlens.operators.quantiles import exact_medians
 
 
 def fill_const(df: DataFrame, values: dict) -> DataFrame:
@@ -66,16 +66,12 @@ def with_group_median(
 ) -> DataFrame:
     """Every row with the medians of its group; a null group has none.
 
-    The columns hold few distinct values (years, rooms), so Spark's counting median
-    stays small for any number of rows. Joining the medians back keeps a large group
-    spread over its tasks, which a window over the group would not.
+    Joining the medians back keeps a large group spread over its tasks, which a window over
+    the group would not.
     """
-    medians = (
-        df.where(F.col(group).isNotNull())
-        .groupBy(group)
-        .agg(*[F.median(c).alias(f"{prefix}{c}") for c in columns])
-    )
-    return lookup_join(df, medians, [group])
+    medians = exact_medians(df.where(F.col(group).isNotNull()), columns, [group])
+    named = medians.withColumnsRenamed({c: f"{prefix}{c}" for c in columns})
+    return lookup_join(df, named, [group])
 
 
 def fill_group_median(df: DataFrame, columns: list[str], group: str) -> DataFrame:
@@ -83,22 +79,15 @@ def fill_group_median(df: DataFrame, columns: list[str], group: str) -> DataFram
     filled = with_group_median(df, columns, group, "__median_").withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}")) for c in columns}
     )
-    overall = filled.agg(*[F.median(c).alias(c) for c in columns])
-    rest = {c: F.coalesce(F.col(c), overall.select(c).scalar()) for c in columns}
+    overall = column_medians(filled, columns)
+    rest = {c: F.coalesce(F.col(c), overall[c]) for c in columns}
     return filled.withColumns(rest).select(*df.columns)
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     """Exact medians of several columns in one pass over the unpivoted cells."""
-    long = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], [quoted(c) for c in columns], "__column", "__value"
-    )
-    medians = exact_median(long, "__value", ["__column"])
-    as_map = medians.agg(
-        F.map_from_entries(F.collect_list(F.struct("__column", "median"))).alias("medians")
-    )
-    lookup = as_map.scalar()
-    return {c: F.try_element_at(lookup, F.lit(c)) for c in columns}
+    known = exact_medians(df, columns).select(F.struct(*[quoted(c) for c in columns])).scalar()
+    return {c: known[c] for c in columns}
 
 
 def fill_row_then_median(df: DataFrame, columns: list[str], total: str) -> DataFrame:

@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rentlens.operators import frames
+
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
 # Rows of one key that a task takes. A key with more is hot, so hot keys are few: at most one
@@ -61,15 +62,12 @@ def lookup_joins(
 ) -> DataFrame:
     """Several lookups on one big side, measured together in a single job.
 
-    The measured frames stay persisted (recomputable, on disk when memory is short), so
-    the join does not evaluate a broadcast side a second time. ``keep=False`` is for
-    frames that are read from a persisted one anyway.
+    The measured frames are kept for the job, so the join does not evaluate a broadcast
+    side a second time. ``keep=False`` is for frames that are read from a kept one anyway.
     """
     # Lookups add columns, so the keys of the original rows tell which ones are hot.
     original = left
-    kept = [
-        right.persist(StorageLevel.MEMORY_AND_DISK) if keep else right for right, _ in lookups
-    ]
+    kept = [frames.keep(right) if keep else right for right, _ in lookups]
     for right, (_, on), size in zip(kept, lookups, measured_bytes(kept)):
         if size <= limit:
             left = _join(left, F.broadcast(right), on, how, null_safe)

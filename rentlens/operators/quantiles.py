@@ -1,24 +1,58 @@
-"""Exact quantiles without holding a group in one task.
-
-A bounded sketch gives, per group and quantile, a narrow value band around the wanted
-rank. Every row outside the bands is only counted; rows inside are counted per distinct
-value. The exact rank is then found in a running sum over that small remainder. The
-sketch decides how much is kept, never what the answer is: a rank outside its band
-raises an error instead of giving a wrong value.
+"""Exact quantiles by digits, without holding a group in one task.
+
+The bits of a double, read as a number, sort like the double. Rows are counted by their
+leading digit; the digit in which a wanted rank falls is known from a running sum over at
+most ``2 ** DIGIT`` counts, and only rows with that digit are counted by the next one. All
+groups, columns and quantiles move on together, one pass a digit, until the rows around
+each rank are few or equal. The steps after the counts see a bounded number of rows a
+group, whatever the data; distributions, ties and outliers only change how many of the four
+digits are needed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rentlens.operators.columns import quoted
+from rentlens.operators.frames import keep
 from rentlens.operators.joins import lookup_join
 
-BAND = 0.001
-ACCURACY = 20000
-SMALL_GROUP = 10000
+#: Bits of a digit; a digit has at most 65,536 values.
+DIGIT = 16
+
+#: Rows around a rank that are put in order one by one.
+FEW = 1 << DIGIT
+
+MANTISSA, LEAST_EXPONENT, MOST_EXPONENT = 52, -1022, 1023
+
+
+def with_ordered_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """The 64 bits of a double as a long that sorts like it; both zeros are 0, null stays.
+
+    Written as arithmetic, so that it stays in generated code: the exponent from a logarithm,
+    set right by comparing with powers of two, and the mantissa by an exact division.
+    """
+    x = F.abs(F.col(value))
+    unit = float(1 << MANTISSA)
+    guess = F.floor(F.log2(F.when(x > 0, x)))
+    bound = F.least(F.greatest(F.coalesce(guess, F.lit(LEAST_EXPONENT)), F.lit(LEAST_EXPONENT)), F.lit(MOST_EXPONENT))
+    finite = x < float("inf")
+    e = F.col("__e")
+    down = (F.pow(F.lit(2.0), e) > x) & (e > LEAST_EXPONENT)
+    up = F.pow(F.lit(2.0), e + 1) <= x
+    exponent = F.when(down, e - 1).when(up & finite, e + 1).otherwise(e)
+    mantissa = x / F.pow(F.lit(2.0), e) * unit
+    bits = F.when(finite, (e - LEAST_EXPONENT) * (1 << MANTISSA) + mantissa.cast("long")).otherwise(
+        F.lit(2047 << MANTISSA)
+    )
+    known = F.col(value).isNotNull()
+    return (
+        df.withColumn("__e", F.when(finite, bound).otherwise(0).cast("long"))
+        .withColumn("__e", exponent)
+        .withColumn(out, F.when(known, F.when(F.col(value) < 0, -bits).otherwise(bits)))
+        .drop("__e")
+    )
 
 
 def exact_quantiles(
@@ -27,54 +61,20 @@ def exact_quantiles(
     probs: dict[str, float],
     by: list[str] | None = None,
 ) -> DataFrame:
-    """Per group: ``rows``, non-null ``n`` and one interpolated column per quantile."""
+    """Per group: ``rows``, non-null ``n`` and one interpolated column per quantile.
+
+    Runs one job per digit. NaN counts as null; a group without values has null quantiles.
+    """
     by = by or []
-    v = F.col(value).cast("double")
-    rows = df.select(*by, F.nullif(v, F.lit(float("nan"))).alias("__v"))
-    cuts = [min(max(p + side, 0.0), 1.0) for p in probs.values() for side in (-BAND, BAND)]
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.count("__v").alias("__n"),
-        F.percentile_approx("__v", cuts, ACCURACY).alias("__cuts"),
-    )
-    if by:
-        marked = lookup_join(rows, sketch, by, null_safe=True)
-        totals = [F.max("__rows").alias("__rows"), F.max("__n").alias("__n")]
-    else:
-        known = sketch.select(F.struct("__rows", "__n", "__cuts")).scalar()
-        marked = rows.withColumn("__known", known).select("__v", "__known.*")
-        totals = [F.max("__rows").alias("__rows"), F.max("__n").alias("__n")]
-
-    bands = [_band(i) for i in range(len(probs))]
-    x = F.col("__v")
-    step = sum(
-        [F.when(x >= low, 1).otherwise(0) + F.when(x > high, 1).otherwise(0) for low, high in bands],
-        F.lit(0),
-    )
-    inside = reduce(lambda a, b: a | b, [(x >= low) & (x <= high) for low, high in bands])
-    counted = (
-        marked.withColumn("__step", F.when(x.isNotNull(), step))
-        .withColumn("__kept", F.when(inside, x))
-        .groupBy(*by, "__step", "__kept")
-        .agg(F.count("__v").alias("__c"), *totals)
-    )
-    order = Window.partitionBy(*by).orderBy("__step", "__kept")
-    running = counted.withColumn(
-        "__upto", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    ranks = {name: F.lit(p) * (F.col("__n") - 1) for name, p in probs.items()}
-    picks = []
-    for i, pos in enumerate(ranks.values()):
-        picks.append(_value_at(F.floor(pos)).alias(f"__low_{i}"))
-        picks.append(_value_at(F.ceil(pos)).alias(f"__high_{i}"))
-    found = running.groupBy(*by).agg(
-        F.max("__rows").alias("__rows"), F.max("__n").alias("__n"), *picks
-    )
-    return found.select(
-        *by,
-        F.col("__rows").alias("rows"),
-        F.col("__n").alias("n"),
-        *[_interpolate(i, pos).alias(name) for i, (name, pos) in enumerate(ranks.items())],
+    x = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
+    rows = keep(with_ordered_bits(df.select(*by, x.alias("__v")), "__v", "__bits"))
+    state, shift = narrowed(rows, list(probs.values()), by)
+    if _any(state, F.col("low") < F.col("high")):
+        state = _step(remaining(rows, state, shift, by), "__v", state, by, 2 * len(probs))
+    cells = [_interpolate(i, p).alias(name) for i, (name, p) in enumerate(probs.items())]
+    zero = F.lit(0).cast("long")
+    return state.select(
+        *by, F.coalesce("__rows", zero).alias("rows"), F.coalesce("__n", zero).alias("n"), *cells
     )
 
 
@@ -84,21 +84,116 @@ def exact_median(
     return exact_quantiles(df, value, {name: 0.5}, by)
 
 
-def _band(i: int) -> tuple[Column, Column]:
-    small = F.col("__n") <= SMALL_GROUP
-    cuts = F.col("__cuts")
-    low = F.when(small, F.lit(float("-inf"))).otherwise(cuts[2 * i])
-    high = F.when(small, F.lit(float("inf"))).otherwise(cuts[2 * i + 1])
-    return low, high
+def exact_medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """The medians of several columns, one row per group, from the unpivoted cells."""
+    by = by or []
+    cells = df.select(*by, *[quoted(c).cast("double").alias(c) for c in columns])
+    long = cells.unpivot(by, [quoted(c) for c in columns], "__column", "__value")
+    medians = exact_median(long, "__value", [*by, "__column"])
+    return medians.groupBy(*by).agg(
+        *[F.max(F.when(F.col("__column") == c, F.col("median"))).alias(c) for c in columns]
+    )
+
 
+def narrowed(rows: DataFrame, probs: list[float], by: list[str]) -> tuple[DataFrame, int]:
+    """Groups with ``__rows``, ``__n`` and ``__at``, and how many bits are still open.
 
-def _value_at(rank: Column) -> Column:
-    covers = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-    missed = F.raise_error(F.lit("quantile rank outside its band")).cast("double")
-    value = F.when(F.col("__kept").isNull(), missed).otherwise(F.col("__kept"))
-    return F.max(F.when(covers & (F.col("__n") > 0), value))
+    ``__at`` has, for the two ranks around each quantile, the leading bits of the rank's
+    value (``prefix``), the rows below them (``before``) and with them (``n``), and the lowest
+    and highest value of those. Digits are read until each rank has few rows or equal ones.
+    """
+    shift = 64 - DIGIT
+    counted = rows.groupBy(*by, F.shiftright("__bits", shift).alias("__prefix")).agg(
+        F.count(F.lit(1)).alias("__all"), *_counts()
+    )
+    group = Window.partitionBy(*by)
+    counted = counted.withColumns(
+        {"__rows": F.sum("__all").over(group), "__n": F.sum("__c").over(group)}
+    )
+    last = F.col("__n") - 1
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    ranks = [
+        F.struct(rank.alias("rank"), none.alias("prefix"), zero.alias("before"))
+        for p in probs
+        for rank in (F.floor(p * last), F.ceil(p * last))
+    ]
+    counted = counted.withColumns({"__parent": none, "__at": F.array(*ranks)})
+    state = keep(_step(counted, "__prefix", None, by, len(ranks)))
+    while shift > 0 and _any(state, (F.col("low") < F.col("high")) & (F.col("n") > FEW)):
+        inside = _inside(rows, state, shift, by)
+        shift -= DIGIT
+        counted = inside.groupBy(
+            *by, "__parent", F.shiftright("__bits", shift).alias("__prefix")
+        ).agg(*_counts(), *_carried())
+        state = keep(_step(counted, "__prefix", state, by, len(ranks)))
+    return state, shift
+
+
+def remaining(rows: DataFrame, state: DataFrame, shift: int, by: list[str]) -> DataFrame:
+    """Distinct values around each rank: at most ``FEW`` a rank."""
+    inside = _inside(rows, state, shift, by)
+    return inside.groupBy(*by, "__parent", "__v").agg(*_counts(), *_carried())
+
+
+def _counts() -> list[Column]:
+    return [F.count("__v").alias("__c"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
+
+
+def _carried() -> list[Column]:
+    return [F.any_value(c).alias(c) for c in ("__rows", "__n", "__at")]
+
+
+def _any(state: DataFrame, condition: Column) -> bool:
+    ranks = state.select(F.explode("__at").alias("a")).select("a.*")
+    return ranks.agg(F.bool_or(condition)).first()[0] or False
+
+
+def _inside(rows: DataFrame, state: DataFrame, shift: int, by: list[str]) -> DataFrame:
+    """Rows whose leading bits are those of a wanted rank, with the state of their group."""
+    if by:
+        marked = lookup_join(rows, state, by, "inner", null_safe=True)
+    else:
+        known = state.select(F.struct("__rows", "__n", "__at")).scalar()
+        marked = rows.withColumn("__known", known).select("__v", "__bits", "__known.*")
+    marked = marked.withColumn("__parent", F.shiftright("__bits", shift))
+    return marked.where(F.exists("__at", lambda at: at["prefix"] == F.col("__parent")))
+
+
+def _step(
+    counted: DataFrame, order: str, state: DataFrame | None, by: list[str], ranks: int
+) -> DataFrame:
+    """The state one digit on: each rank with the count that holds it.
+
+    ``counted`` has one row per group, parent and ``order``. Groups without a value are not
+    in it, as no row has their prefix; they stay as they were.
+    """
+    within = Window.partitionBy(*by, "__parent").orderBy(order)
+    upto = F.sum("__c").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    running = counted.withColumn("__upto", upto)
+    prefix = F.col("__prefix") if "__prefix" in counted.columns else F.col("__parent")
+    picks = []
+    for i in range(ranks):
+        at = F.get("__at", F.lit(i))
+        reached = at["before"] + F.col("__upto")
+        holds = (reached > at["rank"]) & (reached - F.col("__c") <= at["rank"])
+        found = F.struct(
+            at["rank"].alias("rank"),
+            prefix.alias("prefix"),
+            (reached - F.col("__c")).alias("before"),
+            F.col("__c").alias("n"),
+            F.col("__low").alias("low"),
+            F.col("__high").alias("high"),
+        )
+        picks.append(F.max(F.when(holds & at["prefix"].eqNullSafe(F.col("__parent")), found)))
+    moved = running.groupBy(*by).agg(
+        F.any_value("__rows").alias("__rows"),
+        F.any_value("__n").alias("__n"),
+        F.array(*picks).alias("__at"),
+    )
+    return moved if state is None else moved.unionByName(state.where(F.col("__n") == 0))
 
 
-def _interpolate(i: int, pos: Column) -> Column:
-    low, high = F.col(f"__low_{i}"), F.col(f"__high_{i}")
+def _interpolate(i: int, p: float) -> Column:
+    low, high = (F.get("__at", F.lit(j))["low"] for j in (2 * i, 2 * i + 1))
+    pos = F.lit(p) * (F.col("__n") - 1)
     return low + (high - low) * (pos - F.floor(pos))

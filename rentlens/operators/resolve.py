@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import features, parsing, places
 from rentlens.functions import text as tx
 from rentlens.operators.columns import load_zensus, pick_alias, quoted
+from rentlens.operators.frames import keep
 from rentlens.operators.joins import (
     BROADCAST_LIMIT,
     by_distinct,
@@ -79,16 +79,10 @@ def unique_key_maps(
     """``unique_key_map`` for several key sets from one pass over the table."""
     keys = list(dict.fromkeys(k for on in key_sets for k in on))
     sets = [[F.col(k) for k in on] for on in key_sets]
-    spread = (
-        df.groupingSets(sets, *[F.col(k) for k in keys])
-        .agg(
-            F.grouping_id().alias("__set"),
-            F.min(value).alias(value),
-            F.max(value).alias("__max"),
-        )
-        .where(F.col(value) == F.col("__max"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    spread = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(
+        F.grouping_id().alias("__set"), F.min(value).alias(value), F.max(value).alias("__max")
     )
+    spread = keep(spread.where(F.col(value) == F.col("__max")))
     maps = []
     for on in key_sets:
         # One bit per key, the first key highest, set where the key is grouped away.
@@ -105,7 +99,7 @@ def cascade(
     value: str,
     out: str,
     limit: int = BROADCAST_LIMIT,
-    keep: bool = True,
+    measured: bool = True,
 ) -> DataFrame:
     """Fill ``out`` from several unique maps, the first hit wins.
 
@@ -121,7 +115,7 @@ def cascade(
         lookups.append((named, list(on)))
     hits = [f"__hit_{i}" for i in range(len(steps))]
     known = [out] if out in df.columns else []
-    joined = lookup_joins(df, lookups, limit=limit, keep=keep)
+    joined = lookup_joins(df, lookups, limit=limit, keep=measured)
     return joined.withColumn(out, F.coalesce(*known, *hits)).drop(*hits)
 
 
@@ -149,7 +143,7 @@ def prepared_map(key_map: DataFrame, variant: str) -> DataFrame:
             "ort_norm": places.normalize_place(F.col("Ort"), variant),
         }
     )
-    return table.where(F.col("PLZ").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(table.where(F.col("PLZ").isNotNull()))
 
 
 def resolve_gkz_cascade(
@@ -167,7 +161,7 @@ def resolve_gkz_cascade(
         keyed = with_place_keys(names, "cut_suffixes").withColumn(
             "regio3_norm", places.letters_only(F.col("regio3"))
         )
-        return cascade(keyed, steps, "AGS", out, limit, keep=False)
+        return cascade(keyed, steps, "AGS", out, limit, measured=False)
 
     return by_distinct(listings, place_columns(listings, ["regio3"]), resolve, limit)
 
@@ -181,7 +175,7 @@ def resolve_ars_cascade(
 
     def resolve(names: DataFrame) -> DataFrame:
         keyed = with_place_keys(names, "nine_words")
-        return cascade(keyed, steps, "ARS", out, limit, keep=False)
+        return cascade(keyed, steps, "ARS", out, limit, measured=False)
 
     return by_distinct(listings, place_columns(listings), resolve, limit)
 
@@ -336,7 +330,7 @@ def place_candidates(key_map: DataFrame, order: str = "row_no") -> DataFrame:
         "AGS",
     )
     keys = ["plz5", "c_kreis5", "c_bl2", "gemeinde_norm", "ort_norm"]
-    return first_row(table, keys, ["row_no"]).persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(first_row(table, keys, ["row_no"]))
 
 
 def with_pool(queries: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
@@ -375,9 +369,7 @@ def _match_open(
     """
     raw = query_columns(listings, hints)
     still_open = listings.where(F.col(out).isNull()) if out in listings.columns else listings
-    keyed = with_queries(still_open.select(*raw).distinct(), hints).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    keyed = keep(with_queries(still_open.select(*raw).distinct(), hints))
     best = match(keyed.where(F.col("plz5").isNotNull()).select(*QUERY).distinct())
     answers = lookup_join(
         keyed, best.select(*QUERY, F.col("AGS").alias("__ags")), QUERY, null_safe=True, limit=limit
@@ -548,7 +540,7 @@ def location_defaults(requests: DataFrame, key_map: DataFrame, census: DataFrame
         }
     )
     known = F.col("periode").isin(features.PICK_PERIODS)
-    found = cascade(asked, steps, "ARS", "ARS", keep=False)
+    found = cascade(asked, steps, "ARS", "ARS", measured=False)
     keyed = found.withColumn("ARS", F.when(known, F.col("ARS")))
     rents = first_row(
         census.select(

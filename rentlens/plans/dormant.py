@@ -173,10 +173,8 @@ def basic_clean(df: DataFrame, reference_year: int = 2025) -> DataFrame:
     )
     kept = filters.plausible(typed)
     kept = impute.fill_const(kept, {"condition": "unknown", "floor": 0.0})
-    medians = {
-        c: F.coalesce(F.col(c), kept.agg(F.median(c)).scalar()) for c in ("year_built", "rooms")
-    }
-    return kept.withColumns(medians)
+    medians = impute.column_medians(kept, ["year_built", "rooms"])
+    return kept.withColumns({c: F.coalesce(F.col(c), m) for c, m in medians.items()})
 
 
 def factor_lookup(
