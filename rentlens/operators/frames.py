@@ -4,17 +4,21 @@
 at the end of its ``owned`` block, or, where the block handed its result on with ``until``,
 when nobody holds that result any more. Outside a block nothing is kept: frames are then
 computed again, and nothing can be left behind.
+
+``cut`` is for small frames that later steps of a loop read: it writes a checkpoint to the
+shared folder, so plans stay short and a lost executor costs one step.
 """
 
 from __future__ import annotations
 
+import tempfile
 import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWNER: ContextVar[Owner | None] = ContextVar("owner", default=None)
 
@@ -69,3 +73,27 @@ def owned() -> Iterator[Owner]:
 def keep(df: DataFrame) -> DataFrame:
     owner = _OWNER.get()
     return owner.keep(df) if owner else df
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are this process, may leave it unset and gets a
+    temporary one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rentlens-")
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame as a checkpoint; Spark deletes its files once no plan refers to it, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.operators.columns import quoted
-from rentlens.operators.frames import keep
+from rentlens.operators.frames import cut, keep
 from rentlens.operators.joins import lookup_join
 
 #: Bits of a digit; a digit has at most 65,536 values.
@@ -68,9 +68,9 @@ def exact_quantiles(
     by = by or []
     x = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
     rows = keep(with_ordered_bits(df.select(*by, x.alias("__v")), "__v", "__bits"))
-    state, shift = narrowed(rows, list(probs.values()), by)
-    if _any(state, F.col("low") < F.col("high")):
-        state = _step(remaining(rows, state, shift, by), "__v", state, by, 2 * len(probs))
+    state, shift, apart = narrowed(rows, list(probs.values()), by)
+    if apart:
+        state = cut(_step(remaining(rows, state, shift, by), "__v", state, by, 2 * len(probs)))
     cells = [_interpolate(i, p).alias(name) for i, (name, p) in enumerate(probs.items())]
     zero = F.lit(0).cast("long")
     return state.select(
@@ -95,8 +95,11 @@ def exact_medians(df: DataFrame, columns: list[str], by: list[str] | None = None
     )
 
 
-def narrowed(rows: DataFrame, probs: list[float], by: list[str]) -> tuple[DataFrame, int]:
-    """Groups with ``__rows``, ``__n`` and ``__at``, and how many bits are still open.
+def narrowed(
+    rows: DataFrame, probs: list[float], by: list[str]
+) -> tuple[DataFrame, int, bool]:
+    """Groups with ``__rows``, ``__n`` and ``__at``, how many bits are still open, and
+    whether any rank has different values around it.
 
     ``__at`` has, for the two ranks around each quantile, the leading bits of the rank's
     value (``prefix``), the rows below them (``before``) and with them (``n``), and the lowest
@@ -118,15 +121,17 @@ def narrowed(rows: DataFrame, probs: list[float], by: list[str]) -> tuple[DataFr
         for rank in (F.floor(p * last), F.ceil(p * last))
     ]
     counted = counted.withColumns({"__parent": none, "__at": F.array(*ranks)})
-    state = keep(_step(counted, "__prefix", None, by, len(ranks)))
-    while shift > 0 and _any(state, (F.col("low") < F.col("high")) & (F.col("n") > FEW)):
+    state = cut(_step(counted, "__prefix", None, by, len(ranks)))
+    while True:
+        apart, crowded = _apart(state)
+        if shift == 0 or not crowded:
+            return state, shift, apart
         inside = _inside(rows, state, shift, by)
         shift -= DIGIT
         counted = inside.groupBy(
             *by, "__parent", F.shiftright("__bits", shift).alias("__prefix")
         ).agg(*_counts(), *_carried())
-        state = keep(_step(counted, "__prefix", state, by, len(ranks)))
-    return state, shift
+        state = cut(_step(counted, "__prefix", state, by, len(ranks)))
 
 
 def remaining(rows: DataFrame, state: DataFrame, shift: int, by: list[str]) -> DataFrame:
@@ -143,9 +148,12 @@ def _carried() -> list[Column]:
     return [F.any_value(c).alias(c) for c in ("__rows", "__n", "__at")]
 
 
-def _any(state: DataFrame, condition: Column) -> bool:
+def _apart(state: DataFrame) -> tuple[bool, bool]:
+    """Whether any rank has different values around it, and whether one has many such rows."""
     ranks = state.select(F.explode("__at").alias("a")).select("a.*")
-    return ranks.agg(F.bool_or(condition)).first()[0] or False
+    apart = F.col("low") < F.col("high")
+    found = ranks.agg(F.bool_or(apart), F.bool_or(apart & (F.col("n") > FEW))).first()
+    return bool(found[0]), bool(found[1])
 
 
 def _inside(rows: DataFrame, state: DataFrame, shift: int, by: list[str]) -> DataFrame:

@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentlens.operators.frames import shared_base
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``. Only a local session, whose executors
-    are this process, may leave it unset and gets a temporary one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="rentlens-")
-    return f"{base.rstrip('/')}/rentlens-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared one."""
+    return f"{shared_base(spark)}/rentlens-{uuid.uuid4().hex}"
 
 
 def scan_listings(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
