@@ -334,8 +334,7 @@ def ready_table(t):
             "periode_0005": features.year_to_period(F.col("yearConstructed")),
         }
     )
-    keyed = jobs.resolve_listings(listings, t.fx("keymap"), t.fx("zensus"))
-    return jobs.train_ready(keyed)
+    return jobs.train_from_listings(listings, t.fx("keymap"), t.fx("zensus"))
 
 
 @query(

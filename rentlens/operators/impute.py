@@ -32,19 +32,38 @@ def fill_mean(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), mean))
 
 
-def fill_mode_and_mean(
-    df: DataFrame, mode_column: str, mean_column: str, default: float | None = None
+def mode_and_mean_counts(
+    df: DataFrame, mode_column: Column, mean_column: Column, by: list[str] | None = None
 ) -> DataFrame:
-    """Both global fills from a single pass: means are summed per value of the mode column."""
-    per_value = df.groupBy(mode_column).agg(
+    """What both global fills need, per value of the mode column (and ``by``)."""
+    return df.groupBy(*(by or []), mode_column.alias("__mode")).agg(
         F.count(F.lit(1)).alias("__rows"),
         F.sum(mean_column).alias("__sum"),
         F.count(mean_column).alias("__known"),
     )
+
+
+def fill_mode_and_mean(
+    df: DataFrame,
+    mode_column: str,
+    mean_column: str,
+    default: float | None = None,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Both global fills from a single pass: means are summed per value of the mode column.
+
+    ``counts`` are those of ``mode_and_mean_counts`` where a job has them from an earlier
+    pass; the rows are then not read for the fills.
+    """
+    if counts is None:
+        counts = mode_and_mean_counts(df, F.col(mode_column), F.col(mean_column))
+    per_value = counts.groupBy("__mode").agg(
+        *[F.sum(c).alias(c) for c in ("__rows", "__sum", "__known")]
+    )
     most = F.min(
         F.when(
-            F.col(mode_column).isNotNull(),
-            F.struct((-F.col("__rows")).alias("rank"), F.col(mode_column).alias("value")),
+            F.col("__mode").isNotNull(),
+            F.struct((-F.col("__rows")).alias("rank"), F.col("__mode").alias("value")),
         )
     )
     fills = per_value.agg(

@@ -87,9 +87,10 @@ def by_distinct(
     """Apply ``fn`` once per distinct value combination and join its new columns back.
 
     For work that depends on a few columns only, such as resolving place names: the
-    distinct combinations are far fewer than the rows and hold no hot key.
+    distinct combinations are far fewer than the rows and hold no hot key. The answers are
+    a checkpoint, so ``df`` is read once for them and whatever ``fn`` does runs once.
     """
-    answers = fn(df.select(*columns).distinct())
+    answers = frames.cut(fn(df.select(*columns).distinct()))
     return lookup_join(df, answers, columns, null_safe=True, limit=limit)
 
 

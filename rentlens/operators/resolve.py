@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rentlens.functions import features, parsing, places
 from rentlens.functions import text as tx
 from rentlens.operators.columns import load_zensus, pick_alias, quoted
-from rentlens.operators.frames import keep
+from rentlens.operators.frames import cut, keep
 from rentlens.operators.joins import (
     BROADCAST_LIMIT,
     by_distinct,
@@ -82,7 +82,7 @@ def unique_key_maps(
     spread = df.groupingSets(sets, *[F.col(k) for k in keys]).agg(
         F.grouping_id().alias("__set"), F.min(value).alias(value), F.max(value).alias("__max")
     )
-    spread = keep(spread.where(F.col(value) == F.col("__max")))
+    spread = cut(spread.where(F.col(value) == F.col("__max")))
     maps = []
     for on in key_sets:
         # One bit per key, the first key highest, set where the key is grouped away.
@@ -330,7 +330,7 @@ def place_candidates(key_map: DataFrame, order: str = "row_no") -> DataFrame:
         "AGS",
     )
     keys = ["plz5", "c_kreis5", "c_bl2", "gemeinde_norm", "ort_norm"]
-    return keep(first_row(table, keys, ["row_no"]))
+    return cut(first_row(table, keys, ["row_no"]))
 
 
 def with_pool(queries: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
@@ -369,11 +369,10 @@ def _match_open(
     """
     raw = query_columns(listings, hints)
     still_open = listings.where(F.col(out).isNull()) if out in listings.columns else listings
-    keyed = keep(with_queries(still_open.select(*raw).distinct(), hints))
+    keyed = cut(with_queries(still_open.select(*raw).distinct(), hints))
     best = match(keyed.where(F.col("plz5").isNotNull()).select(*QUERY).distinct())
-    answers = lookup_join(
-        keyed, best.select(*QUERY, F.col("AGS").alias("__ags")), QUERY, null_safe=True, limit=limit
-    )
+    found = best.select(*QUERY, F.col("AGS").alias("__ags"))
+    answers = cut(lookup_join(keyed, found, QUERY, null_safe=True, limit=limit))
     joined = lookup_join(
         listings, answers.select(*raw, "__ags"), raw, null_safe=True, limit=limit
     )

@@ -9,6 +9,8 @@ from rentlens.functions import features, parsing
 from rentlens.operators import columns, filters, impute, resolve
 from rentlens.operators.aggregates import expand_flags
 from rentlens.operators.columns import numeric
+from rentlens.operators.frames import cut
+from rentlens.operators.joins import lookup_join
 
 # yes/no columns and text categories of the portal file.
 FLAG_COLUMNS = ["balcony", "garden", "lift", "hasKitchen", "cellar", "petsAllowed"]
@@ -58,10 +60,12 @@ def clean_listings(raw: DataFrame) -> DataFrame:
     return fill_global(df, 0.0)
 
 
-def fill_global(df: DataFrame, default_floor: float | None = None) -> DataFrame:
+def fill_global(
+    df: DataFrame, default_floor: float | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Floor by its mode and price trend by its mean, as far as the columns exist."""
     if "floor" in df.columns and "pricetrend" in df.columns:
-        return impute.fill_mode_and_mean(df, "floor", "pricetrend", default_floor)
+        return impute.fill_mode_and_mean(df, "floor", "pricetrend", default_floor, counts)
     if "floor" in df.columns:
         return impute.fill_mode(df, "floor", default_floor)
     return impute.fill_mean(df, "pricetrend") if "pricetrend" in df.columns else df
@@ -75,7 +79,37 @@ def resolve_listings(
     return resolve.resolve_by_census_name(keyed, census)
 
 
-def train_ready(keyed: DataFrame) -> DataFrame:
+def train_from_listings(
+    listings: DataFrame, key_map: DataFrame, census: DataFrame
+) -> DataFrame:
+    """``resolve_listings`` and ``train_ready`` with two passes over the listings.
+
+    The first one counts per place and floor, as far as those columns go; places are
+    resolved and the global fills found from these counts. The second one joins the keys.
+    """
+    if not {"floor", "pricetrend"} <= set(listings.columns):
+        return train_ready(resolve_listings(listings, key_map, census))
+    known = [c for c in ("ARS",) if c in listings.columns]
+    sources = resolve.place_columns(listings, ["regio3", "regio2", *known])
+    floor, trend = numeric(listings, "floor"), numeric(listings, "pricetrend")
+    counts = cut(impute.mode_and_mean_counts(listings, floor, trend, sources))
+    places = counts.select(*sources).distinct()
+    own = {c: f"__{c}" for c in sources}
+    resolved = resolve_listings(
+        places.withColumns({new: F.col(c) for c, new in own.items()}), key_map, census
+    )
+    answers = cut(
+        resolved.select(*[F.col(new).alias(c) for c, new in own.items()], F.col("ARS").alias("__key"))
+    )
+
+    def keyed(df: DataFrame) -> DataFrame:
+        joined = lookup_join(df, answers, sources, null_safe=True)
+        return joined.withColumn("ARS", F.col("__key")).drop("__key")
+
+    return train_ready(keyed(listings), filters.valid_key(keyed(counts), "ARS", 12))
+
+
+def train_ready(keyed: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Thirteen training columns, filled and filtered; rows without a key are dropped."""
     df = filters.valid_key(keyed, "ARS", 12)
     df = columns.rename_map(df, columns.TRAIN_NAMES)
@@ -86,7 +120,7 @@ def train_ready(keyed: DataFrame) -> DataFrame:
     df = columns.keep_existing(df, columns.TRAIN_COLUMNS)
     if "serviceCharge" in df.columns:
         df = impute.fill_const(df, {"serviceCharge": 0.0})
-    df = fill_global(df)
+    df = fill_global(df, counts=counts)
     texts = [c for c in ("typeOfFlat", "heatingType_clean", "periode_0005") if c in df.columns]
     return filters.plausible(impute.fill_const(df, {c: "unknown" for c in texts}))
 

@@ -54,3 +54,28 @@ def test_no_frame_is_left_after_a_query(spark, counted, name):
     del result
     gc.collect()
     assert counted() == 0
+
+
+def test_listings_are_read_twice_for_the_training_table(spark):
+    """Once for the places and the fills, once for the rows themselves."""
+    from pyspark.sql import functions as F
+
+    from rentlens.catalog.fixtures import Tables
+    from rentlens.plans import listings as jobs
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted_name(x):
+        seen.add(1)
+        return x
+
+    rows = t.fx("listings").withColumns(
+        {"heatingType_clean": F.col("heatingType"), "periode_0005": F.lit("x"), "regio3": counted_name("regio3")}
+    )
+    n = t.fx("listings").count()
+    with frames.owned():
+        ready = jobs.train_from_listings(rows, t.fx("keymap"), t.fx("zensus"))
+        assert ready.count() > 0
+    assert n <= seen.value <= 2 * n
