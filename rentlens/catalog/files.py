@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from rentlens.catalog.cleaning import STANDARD
 from rentlens.catalog.registry import query
 from rentlens.operators import columns, sampling
 from rentlens.schemas import strings
-from rentlens.sources import files, tables
+from rentlens.sources import archives, files, tables
 
 TYPED = ["listing_id", "baseRent", "floor", "serviceCharge", "regio3", "geo_plz"]
 
@@ -57,33 +52,20 @@ def a4(t):
     return files.scan_csv_robust(t.spark, path).drop("line")
 
 
-@F.pandas_udf(BinaryType())
-def _zip_lines(lines: pd.Series) -> pd.Series:
-    def packed(rows) -> bytes:
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("notes.txt", "no table")
-            archive.writestr("tenants.csv", "id,first_name,last_name\n" + "\n".join(rows))
-        return held.getvalue()
-
-    return lines.map(packed)
-
-
 @query(
     "A5_scan_zip_csv",
-    "SELECT CAST(id AS VARCHAR) AS id, first_name, last_name, CAST(NULL AS VARCHAR) AS phone "
-    "FROM fx_tenants",
+    """SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 <> 0 THEN first_name END AS first_name,
+              last_name, CASE WHEN id % 3 = 0 THEN 'short' END AS note FROM fx_tenants""",
 )
 def a5(t):
-    # Fifty tenants make one archive, so an archive stays small however many there are.
-    line = F.concat_ws(",", "id", "first_name", "last_name")
-    packs = (
-        t.fx("tenants")
-        .groupBy(F.floor(F.col("id") / 50).cast("string").alias("path"))
-        .agg(F.collect_list(line).alias("lines"))
-    )
-    archives = packs.select("path", _zip_lines("lines").alias("content"))
-    return files.unzip_csv(archives, ["id", "first_name", "last_name", "phone"]).drop("path")
+    """Real archives with two kinds of headers; the columns are the union of them."""
+    tenants = t.fx("tenants").select("id", "first_name", "last_name")
+    path = tables.shared_dir(t.spark)
+    archives.write_zip_csv(tenants.where("id % 3 <> 0").repartition(3, "id"), f"{path}/whole")
+    short = tenants.where("id % 3 = 0").select("last_name", "id", F.lit("short").alias("note"))
+    archives.write_zip_csv(short.repartition(2, "id"), f"{path}/short", "tenants.CSV")
+    found = archives.scan_zip_csv(t.spark, [f"{path}/whole", f"{path}/short"])
+    return found.drop("path")
 
 
 @query("A6_cap_rows", "SELECT listing_id, baseRent FROM fx_places_listed ORDER BY listing_id LIMIT 1000")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rentlens.operators import columns, sampling
-from rentlens.sources import files, tables
+from rentlens.sources import archives, files, tables
 
 
 def standard_rows(raw: DataFrame, source: str) -> DataFrame:
@@ -42,9 +42,8 @@ def ingest_zip(
     max_rows: int | None = None,
 ) -> int:
     """Append the rows of the first CSV file of every archive; none of them gives 0."""
-    archives = spark.read.format("binaryFile").load(path)
-    names = files.archive_columns(archives)
+    names = archives.zip_columns(spark, path)
     if not names:
         return 0
-    raw = files.unzip_csv(archives, names, max_rows).drop("path")
+    raw = archives.scan_zip_csv(spark, path, names, max_rows).select(*names)
     return tables.append_listings(standard_rows(raw, source), table)

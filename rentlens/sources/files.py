@@ -1,14 +1,10 @@
-"""Delimited text files and archives of them."""
+"""Delimited text files."""
 
 from __future__ import annotations
 
 import csv
-import io
 import re
-import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -145,81 +141,3 @@ def guess_header(df: DataFrame, key: str, order: str) -> DataFrame:
         return rows
     labels = {c: head[c] for c in names if head[c]}
     return rows.withColumnsRenamed(labels)
-
-
-def csv_lines_of_archive(content: bytes) -> Iterator[list[str]]:
-    """Rows of the first CSV file in a ZIP archive, read as a stream; none without one."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        members = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-        if not members:
-            return
-        with archive.open(members[0]) as member:
-            text = io.TextIOWrapper(member, encoding="utf-8-sig", newline="")
-            yield from csv.reader(text)
-
-
-def archive_columns(archives: DataFrame) -> list[str]:
-    """Header names of all archives in their first order of appearance; only headers are read."""
-
-    def headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                names = [n.strip() for n in next(csv_lines_of_archive(content), [])]
-                yield pd.DataFrame(
-                    {
-                        "path": pd.Series([path] * len(names), dtype=object),
-                        "at": pd.Series(range(len(names)), dtype="int32"),
-                        "name": pd.Series(names, dtype=object),
-                    }
-                )
-
-    found = archives.select("path", "content").mapInPandas(
-        headers, "path string, at int, name string"
-    )
-    first = found.groupBy("name").agg(F.min(F.struct("path", "at")).alias("first"))
-    return [r["name"] for r in first.orderBy("first").collect()]
-
-
-def unzip_csv(
-    archives: DataFrame, names: list[str], max_rows: int | None = None, batch: int = 5000
-) -> DataFrame:
-    """Rows of the archives in columns (path, content) as text under the given names.
-
-    Columns are found by header name; a name the file lacks is null. The unpacking runs
-    inside the tasks, one archive after the other, in batches.
-    """
-    schema = strings(["path", *names])
-
-    def rows(path: str, content: bytes) -> Iterator[list]:
-        lines = csv_lines_of_archive(content)
-        header = {name.strip(): i for i, name in enumerate(next(lines, []))}
-        at = [header.get(n) for n in names]
-        for done, line in enumerate(lines):
-            if max_rows and done >= max_rows:
-                return
-            if line:
-                yield [path, *[_cell(line, i) for i in at]]
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                held: list[list] = []
-                for row in rows(path, content):
-                    held.append(row)
-                    if len(held) >= batch:
-                        yield pd.DataFrame(held, columns=schema.names, dtype=object)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=schema.names, dtype=object)
-
-    return archives.select("path", "content").mapInPandas(unpack, schema)
-
-
-def _cell(line: list[str], i: int | None) -> str | None:
-    return line[i] if i is not None and i < len(line) and line[i] != "" else None
-
-
-def scan_zip_csv(
-    spark: SparkSession, path: str, names: list[str], max_rows: int | None = None
-) -> DataFrame:
-    return unzip_csv(spark.read.format("binaryFile").load(path), names, max_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rentlens import schemas
 from rentlens.plans import ingest
-from rentlens.sources import files, tables
+from rentlens.sources import archives, files, tables
 from rentlens.streaming.uploads import ingest_uploads
 
 
@@ -77,9 +77,9 @@ def test_archives(spark, tmp_path):
                                 ("two.csv", "plz\n99999\n")])
     zipped(tmp_path / "b.zip", [("c.csv", "price,plz\n700,10115\n")])
     zipped(tmp_path / "c.zip", [("readme.md", "nothing")])
-    rows = files.scan_zip_csv(spark, str(tmp_path / "*.zip"), ["plz", "price"]).collect()
+    rows = archives.scan_zip_csv(spark, str(tmp_path / "*.zip"), ["plz", "price"]).collect()
     assert sorted((r.plz, r.price) for r in rows) == [("01067", "500"), ("10115", "700"), ("24103", "600")]
-    assert files.scan_zip_csv(spark, str(tmp_path / "*.zip"), ["plz"], max_rows=1).count() == 2
+    assert archives.scan_zip_csv(spark, str(tmp_path / "*.zip"), ["plz"], max_rows=1).count() == 2
     table = str(tmp_path / "table")
     assert ingest.ingest_zip(spark, str(tmp_path / "*.zip"), table) == 3
     assert ingest.ingest_zip(spark, str(tmp_path / "c.zip"), table) == 0
