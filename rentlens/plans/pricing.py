@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import features, parsing
-from rentlens.operators import filters
-from rentlens.operators.columns import numeric
-from rentlens.operators.impute import column_medians, most_frequent
+from rentlens.operators import filters, sampling
+from rentlens.operators.columns import numeric, require_columns, resolve_features
+from rentlens.operators.frames import cut
 from rentlens.operators.quantiles import exact_median
 from rentlens.operators.reports import unit_context
-from rentlens.sources.tables import write_stage
+from rentlens.plans.encoding import ONE_HOT, FeaturePreparation
+from rentlens.plans.encoding import TARGET as TARGET_STATISTIC
+from rentlens.sources.tables import save_model, write_metrics, write_stage
 
 # Features of the two model variants.
 BASIC_NUMERIC = ["area_sqm", "rooms", "floor", "year_built", "lat", "lon"]
@@ -26,11 +30,18 @@ RICH_NUMERIC = [
 RICH_CATEGORICAL = ["typeOfFlat", "heatingType_clean", "periode_0005"]
 TARGET = "rent_cold"
 
-# Columns with few labels are one-hot encoded. Trees split wider columns as categories,
-# which needs one feature instead of thousands. Labels live in the driver, so a column
-# beyond MAX_LABELS is first hashed to that many buckets.
-ONE_HOT_LABELS = 64
-MAX_LABELS = 10000
+# Used where the training table has them: census rents of the listing's municipality.
+CENSUS_NUMERIC = ["zensus_miete_total", "zensus_miete_decade", "zensus_factor_decade"]
+
+# How each text column is encoded. Places have as many labels as there are places, so they
+# go by target statistics; the others are short lists of kinds.
+ENCODING = {
+    "city": TARGET_STATISTIC, "zip_code": TARGET_STATISTIC, "district": TARGET_STATISTIC,
+    "condition": ONE_HOT, "typeOfFlat": ONE_HOT, "heatingType_clean": ONE_HOT, "periode_0005": ONE_HOT,
+}
+
+#: Training rows of a task.
+ROWS_PER_TASK = 10_000
 
 
 def train_table(listings: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -57,88 +68,15 @@ def known_share(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def learned_fills(train: DataFrame, numeric_names: list[str], text_names: list[str]) -> dict:
-    """Median per numeric and most frequent value per text column of the train rows."""
-    fills = {}
-    if numeric_names:
-        row = (
-            train.limit(1)
-            .select(F.lit(1).alias("one"))
-            .select(*[m.alias(c) for c, m in column_medians(train, numeric_names).items()])
-            .first()
-        )
-        fills.update({c: row[c] if row and row[c] is not None else 0.0 for c in numeric_names})
-    for c in text_names:
-        row = most_frequent(train, c).first()
-        fills[c] = row[0] if row else "unknown"
-    return fills
-
-
-def impute_stage(fills: dict, hashed: list[str] | None = None) -> SQLTransformer:
-    """A stage that can be saved with the pipeline and fills in the learned values."""
-    cells = []
-    for c, value in fills.items():
-        if isinstance(value, str):
-            text = value.replace("\\", "\\\\").replace("'", "\\'")
-            cell = f"coalesce(`{c}`, '{text}')"
-            if c in (hashed or []):
-                cell = f"cast(pmod(xxhash64({cell}), {MAX_LABELS}) AS string)"
-        else:
-            cell = f"coalesce(cast(`{c}` AS double), {value!r}D)"
-        cells.append(f"{cell} AS `{c}__in`")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")
-
-
-def label_counts(train: DataFrame, names: list[str]) -> dict[str, int]:
-    if not names:
-        return {}
-    row = train.agg(*[F.count_distinct(c).alias(c) for c in names]).first()
-    return {c: row[c] for c in names}
-
-
-def feature_stages(
-    train: DataFrame, numeric_names: list[str], text_names: list[str]
-) -> tuple[list, int]:
-    """Imputation, encoding and assembly, and the bins a tree needs for the categories.
-
-    A label that training never saw becomes a label of its own (all zeros one-hot).
-    """
-    fills = learned_fills(train, numeric_names, text_names)
-    counts = label_counts(train, text_names)
-    hashed = [c for c in text_names if counts[c] > MAX_LABELS]
-    narrow = [c for c in text_names if counts[c] <= ONE_HOT_LABELS]
-    stages: list = [impute_stage(fills, hashed)]
-    if text_names:
-        stages.append(
-            StringIndexer(
-                inputCols=[f"{c}__in" for c in text_names],
-                outputCols=[f"{c}__ix" for c in text_names],
-                handleInvalid="keep",
-            )
-        )
-    if narrow:
-        stages.append(
-            OneHotEncoder(
-                inputCols=[f"{c}__ix" for c in narrow],
-                outputCols=[f"{c}__oh" for c in narrow],
-                handleInvalid="keep",
-            )
-        )
-    parts = [f"{c}__in" for c in numeric_names]
-    parts += [f"{c}__oh" if c in narrow else f"{c}__ix" for c in text_names]
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep"))
-    widest = max([min(n, MAX_LABELS) for c, n in counts.items() if c not in narrow], default=0)
-    return stages, max(32, widest + 2)
-
-
 def spread_rows(df: DataFrame) -> DataFrame:
-    """Persisted rows on at least as many partitions as there are cores."""
+    """Persisted rows, ``ROWS_PER_TASK`` to a partition.
+
+    Every partition sends its statistics of all open nodes; more partitions than the rows
+    need would only multiply them.
+    """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if kept.rdd.getNumPartitions() >= cores:
-        return kept
-    wide = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    wide.count()
+    wide = kept.repartition(-(-kept.count() // ROWS_PER_TASK) or 1)
+    wide.persist(StorageLevel.MEMORY_AND_DISK).count()
     kept.unpersist()
     return wide
 
@@ -152,9 +90,25 @@ def fit_forest(
     max_depth: int = 30,
     seed: int = 42,
     target: str = TARGET,
+    encoding: dict[str, str] | None = None,
 ) -> PipelineModel:
-    train = spread_rows(train.select(*numeric_names, *text_names, target))
-    stages, bins = feature_stages(train, numeric_names, text_names)
+    """Preparation, vectors and forest as one model that can be saved.
+
+    ``encoding`` says for each text column whether it is ``one_hot`` or goes by ``target``
+    statistics, whatever the number of its labels. The forest learns from statistics of
+    other folds; new rows are scored with those of all rows. A label that training never saw
+    is all zeros, or has the overall mean.
+    """
+    kinds = {c: (encoding or ENCODING)[c] for c in text_names}
+    one_hot = [c for c in text_names if kinds[c] == ONE_HOT]
+    by_target = [c for c in text_names if kinds[c] == TARGET_STATISTIC]
+    train = train.select(*numeric_names, *text_names, target).persist(StorageLevel.MEMORY_AND_DISK)
+    preparation = FeaturePreparation(
+        numeric=numeric_names, one_hot=one_hot, by_target=by_target, target=target
+    ).fit(train)
+    ready = preparation.out_of_fold(train)
+    vectors = Pipeline(stages=vector_stages(numeric_names, one_hot, by_target)).fit(ready)
+    rows = spread_rows(vectors.transform(ready).select("features", target))
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=target,
@@ -164,12 +118,28 @@ def fit_forest(
         minInstancesPerNode=min_leaf,
         featureSubsetStrategy="all",
         seed=seed,
-        maxBins=bins,
         maxMemoryInMB=1024,
-    )
-    model = Pipeline(stages=[*stages, forest]).fit(train)
-    train.unpersist()
-    return model
+    ).fit(rows)
+    for kept in (rows, train):
+        kept.unpersist()
+    return PipelineModel(stages=[preparation, *vectors.stages, forest])
+
+
+def vector_stages(numeric_names: list[str], one_hot: list[str], by_target: list[str]) -> list:
+    """From prepared columns to one vector."""
+    stages: list = []
+    if one_hot:
+        indexed, coded = [f"{c}__ix" for c in one_hot], [f"{c}__oh" for c in one_hot]
+        stages.append(
+            StringIndexer(
+                inputCols=[f"{c}__in" for c in one_hot], outputCols=indexed, handleInvalid="keep"
+            )
+        )
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="keep"))
+    parts = [f"{c}__in" for c in numeric_names]
+    parts += [f"{c}__oh" for c in one_hot] + [f"{c}__in" for c in by_target]
+    stages.append(VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep"))
+    return stages
 
 
 def fit_basic(train: DataFrame, trees: int = 400, max_depth: int = 30) -> PipelineModel:
@@ -177,23 +147,69 @@ def fit_basic(train: DataFrame, trees: int = 400, max_depth: int = 30) -> Pipeli
 
 
 def fit_rich(train: DataFrame, trees: int = 200, max_depth: int = 30) -> PipelineModel:
-    numeric_names = [c for c in RICH_NUMERIC if c in train.columns]
-    text_names = [c for c in RICH_CATEGORICAL if c in train.columns]
-    return fit_forest(train, numeric_names, text_names, trees, 2, max_depth)
+    """Features that the table lacks are left out with a warning; none at all is an error."""
+    found = rich_features(train)
+    if found["missing"]:
+        warnings.warn(f"features not found: {found['missing']}", stacklevel=2)
+    return fit_forest(train, found["numeric"], found["categorical"], trees, 2, max_depth)
+
+
+def rich_features(df: DataFrame) -> dict:
+    """Present and missing features of the rich model; census columns count where present."""
+    census = [c for c in CENSUS_NUMERIC if c in df.columns]
+    return resolve_features(df, [*RICH_NUMERIC, *census], RICH_CATEGORICAL)
+
+
+def train_job(
+    table: DataFrame,
+    key: str,
+    model_path: str,
+    metrics_path: str,
+    sample: int = 50_000,
+    test_share: float = 0.2,
+    trees: int = 200,
+    max_depth: int = 30,
+) -> tuple[PipelineModel, DataFrame]:
+    """Load, feature check, known share, sample, split, fit, metrics and both files.
+
+    Returns the model and one row of metrics: sizes, errors, the features used and their
+    known share. ``sample`` 0 takes every row. Missing features give a warning; a table
+    without the target or without any feature is an error.
+    """
+    require_columns(table, [TARGET, key])
+    rows = load_train(table)
+    found = rich_features(rows)
+    names = [*found["numeric"], *found["categorical"]]
+    share = known_share(rows, names)
+    train, test = sampling.split(sampling.seeded_sample(rows, key, sample), key, test_share)
+    train = train.select(key, *names, TARGET)
+    model = fit_rich(train, trees, max_depth)
+    scored = write_stage(
+        score_batch(model, test.select(key, *names, TARGET)).select(F.col(TARGET).alias("y"), "pred"),
+        f"{metrics_path}.scored",
+    )
+    known = share.agg(
+        F.sort_array(F.collect_list(F.struct("known_pct", "feature"))).alias("known")
+    ).scalar()
+    metrics = cut(
+        regression_metrics(scored).select(
+            train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
+            F.col("n").alias("n_test"),
+            *[F.col(c) for c in ("mae", "mdae", "mape", "smape", "r2")],
+            F.array(*[F.lit(c) for c in names]).alias("features_used"),
+            F.lit(TARGET).alias("target"),
+            F.lit(sample).alias("sample"),
+            known.alias("known_share"),
+        )
+    )
+    save_model(model, model_path)
+    write_metrics(metrics, metrics_path)
+    return model, metrics
 
 
 def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Input columns and ``pred``; features the input lacks count as missing."""
-    fills = model.stages[0].getStatement()
-    absent = [
-        c
-        for c in [*BASIC_NUMERIC, *BASIC_CATEGORICAL, *RICH_NUMERIC, *RICH_CATEGORICAL]
-        if f"`{c}__in`" in fills and c not in df.columns
-    ]
-    texts = {*BASIC_CATEGORICAL, *RICH_CATEGORICAL}
-    kinds = {c: "string" if c in texts else "double" for c in dict.fromkeys(absent)}
-    whole = df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
-    return model.transform(whole).select(*[F.col(c) for c in df.columns], "pred")
+    return model.transform(df).select(*[F.col(f"`{c}`") for c in df.columns], "pred")
 
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
