@@ -181,11 +181,13 @@ def train_job(
     found = rich_features(rows)
     names = [*found["numeric"], *found["categorical"]]
     share = known_share(rows, names)
-    train, test = sampling.split(sampling.seeded_sample(rows, key, sample), key, test_share)
-    train = train.select(key, *names, TARGET)
+    # The split goes by the hash of the key, so the sample goes by another one.
+    drawn = rows.withColumn("__draw", F.concat(F.lit("sample "), F.col(key).cast("string")))
+    drawn = sampling.seeded_sample(drawn, "__draw", sample)
+    train, test = sampling.split(drawn.select(key, *names, TARGET), key, test_share)
     model = fit_rich(train, trees, max_depth)
     scored = write_stage(
-        score_batch(model, test.select(key, *names, TARGET)).select(F.col(TARGET).alias("y"), "pred"),
+        score_batch(model, test).select(F.col(TARGET).alias("y"), "pred"),
         f"{metrics_path}.scored",
     )
     known = share.agg(
