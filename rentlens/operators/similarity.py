@@ -1,18 +1,22 @@
 """String-similarity joins that never build all pairs.
 
 Two texts whose insert/delete similarity reaches a bound differ in few single-character
-edits. Cut one text into one segment more than that number of edits: at least one segment
-survives unchanged in the other text, near its old place (the pigeonhole filter of the
-published Pass-Join method). Joining on segments therefore finds every pair above the
-bound, and only those candidates are scored in Arrow batches.
+edits. Above two thirds: cut one text into one segment more than that number of edits; at
+least one segment survives unchanged in the other text, near its old place (the pigeonhole
+filter of the published Pass-Join method). At any lower bound no longer piece need survive,
+but single characters do: both texts share as many numbered characters (the second ``e`` is
+one of its own) as their longest common subsequence has, so the rarest few of each side must
+have one in common (prefix filter), within bands of length, and enough characters must have a
+partner near their place. Only the candidates of either join are scored, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -20,6 +24,9 @@ from rentlens.operators.joins import BROADCAST_LIMIT, lookup_join
 
 EPS = 1e-9
 
+#: Above this ratio a piece of two characters or more survives the edits.
+SEGMENT_RATIO = 2 / 3
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit per character of ``a``."""
@@ -61,9 +68,6 @@ def sorted_tokens(c: Column) -> Column:
 
 
 def _segment_count(length: Column, ratio: float) -> Column:
-    if ratio <= 2 / 3:
-        # More segments than letters: empty ones would make everything meet everything.
-        raise ValueError("the segment filter needs a ratio above 2/3")
     edits = F.floor(length * ((1 - ratio) * 2 / ratio) + EPS)
     return (edits + 1).cast("int")
 
@@ -129,27 +133,105 @@ def near_pairs(
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Distinct (a, b) that can reach ``ratio``: a superset without false misses."""
-    wanted = (
-        left.select(a)
-        .distinct()
-        .where(F.length(a) > 0)
-        .withColumn("__p", F.explode(_wanted_segments(F.col(a), ratio)))
-        .select(a, "__p.*")
-    )
-    own = (
-        right.select(b)
-        .distinct()
-        .where(F.length(b) > 0)
-        .withColumn("__p", F.explode(_own_segments(F.col(b), ratio)))
-        .select(b, "__p.*")
-    )
-    found = lookup_join(wanted, own, ["length", "i", "piece"], "inner", limit=limit)
+    if ratio <= 0:
+        raise ValueError("texts without a common character cannot be joined on one")
+    own = left.select(a).distinct().where(F.length(a) > 0)
+    others = right.select(b).distinct().where(F.length(b) > 0)
+    meet = segment_pairs if ratio > SEGMENT_RATIO else character_pairs
     # Substitutions count once in the Levenshtein distance, so it never exceeds the bound.
     edits = F.floor((F.length(a) + F.length(b)) * (1 - ratio) + EPS).cast("int")
-    near = found.select(a, b).distinct()
+    near = meet(own, others, a, b, ratio, limit)
     return near.where(F.levenshtein(F.col(a), F.col(b)) <= edits)
 
 
+def segment_pairs(
+    left: DataFrame, right: DataFrame, a: str, b: str, ratio: float, limit: int = BROADCAST_LIMIT
+) -> DataFrame:
+    """Pairs that share a segment near its place; for ratios above two thirds."""
+    wanted = left.withColumn("__p", F.explode(_wanted_segments(F.col(a), ratio))).select(a, "__p.*")
+    own = right.withColumn("__p", F.explode(_own_segments(F.col(b), ratio))).select(b, "__p.*")
+    found = lookup_join(wanted, own, ["length", "i", "piece"], "inner", limit=limit)
+    return found.select(a, b).distinct()
+
+
+def _common(length: Column, other: Column, ratio: float) -> Column:
+    """Least length of a common subsequence that reaches the ratio, at least one."""
+    return F.greatest(F.ceil((length + other) * (ratio / 2) - EPS), F.lit(1))
+
+
+def _numbered(c: Column) -> Column:
+    """The characters of a text, each with its number among equal ones so far."""
+    chars = F.split(c, "")
+    return F.transform(
+        chars,
+        lambda x, i: F.concat(
+            x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")
+        ),
+    )
+
+
+def _rarest_first(
+    df: DataFrame, c: str, counts: DataFrame, shortest: Column, ratio: float, limit: int
+) -> DataFrame:
+    """The characters of each text that a partner of ``shortest`` length or more must share
+    one of, with their places in the order of rarity."""
+    length = F.length(c)
+    each = df.select(c, length.alias("__l"), F.explode(_numbered(F.col(c))).alias("token"))
+    known = lookup_join(each, counts, ["token"], limit=limit)
+    order = Window.partitionBy(c).orderBy(F.coalesce("n", F.lit(0)), "token")
+    placed = known.withColumn("place", F.row_number().over(order)).drop("n")
+    return placed.where(F.col("place") <= F.col("__l") - _common(F.col("__l"), shortest, ratio) + 1)
+
+
+def character_pairs(
+    left: DataFrame, right: DataFrame, a: str, b: str, ratio: float, limit: int = BROADCAST_LIMIT
+) -> DataFrame:
+    """Pairs that share one of their rarest characters; for any ratio above zero.
+
+    Lengths of a pair differ at most by the factor ``(2 - ratio) / ratio``, so texts meet in
+    geometric bands of that width, the left one in its own and both next to it. The number
+    of rarest characters follows from the lengths of each pair. What meets is kept if enough
+    characters have an equal one near their place.
+    """
+    factor = (2 - ratio) / ratio
+    tokens = right.select(F.explode(_numbered(F.col(b))).alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    width = math.log(factor) if factor > 1 else 1.0
+    band = F.floor(F.log(F.col("__l").cast("double")) / width).cast("int")
+    shortest = F.ceil(F.col("__l") / factor - EPS)
+    asked = _rarest_first(left, a, counts, shortest, ratio, limit)
+    asked = asked.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    asked = asked.withColumnsRenamed({"__l": "__la", "place": "__pa"})
+    offered = _rarest_first(right, b, counts, shortest, ratio, limit).withColumn("band", band)
+    offered = offered.withColumnsRenamed({"__l": "__lb", "place": "__pb"})
+    least = _common(F.col("__la"), F.col("__lb"), ratio)
+    met = lookup_join(asked, offered, ["token", "band"], "inner", limit=limit).where(
+        (least <= F.least("__la", "__lb"))
+        & (F.col("__pa") <= F.col("__la") - least + 1)
+        & (F.col("__pb") <= F.col("__lb") - least + 1)
+    )
+    pairs = met.select(a, b).distinct()
+    common = _common(F.length(a), F.length(b), ratio)
+    shared = F.size(F.array_intersect(_numbered(F.col(a)), _numbered(F.col(b))))
+    return pairs.where((shared >= common) & (_near_places(F.col(a), F.col(b), common) >= common))
+
+
+def _near_places(a: Column, b: Column, common: Column) -> Column:
+    """Characters of ``a`` that have an equal one in ``b`` near their place.
+
+    In front of a character of the common subsequence at most ``len(a) - common`` others of
+    ``a`` and ``len(b) - common`` of ``b`` are left over, which bounds how far it moves.
+    """
+    n = F.length(a)
+
+    def has_partner(i: Column) -> Column:
+        first = F.greatest(i - (n - common), F.lit(0))
+        window = F.substr(b, (first + 1).cast("int"), (i + F.length(b) - common - first + 1).cast("int"))
+        return F.contains(window, F.substr(a, i + 1, F.lit(1)))
+
+    return F.size(F.filter(F.sequence(F.lit(0), n - 1), has_partner))
+
+
 def close_match(
     wanted: DataFrame,
     choices: DataFrame,

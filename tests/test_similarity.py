@@ -1,13 +1,12 @@
 from __future__ import annotations
 
 import difflib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from pyspark.sql import functions as F
-
 from rentlens.operators import resolve, similarity
 
 
@@ -28,7 +27,7 @@ def test_common_subsequence(a, b):
 names = st.lists(st.text("abn 1", min_size=1, max_size=14), min_size=1, max_size=25, unique=True)
 
 
-@pytest.mark.parametrize("ratio", [0.87, 0.9, 0.75])
+@pytest.mark.parametrize("ratio", [0.87, 0.9, 0.75, 2 / 3, 0.6, 0.4, 0.1, 1.0])
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(left=names, right=names)
 def test_near_pairs_miss_nothing(spark, ratio, left, right):
@@ -110,8 +109,40 @@ def resolve_norm(x: str) -> str:
     return " ".join(x.lower().split())
 
 
-def test_ratios_that_the_segments_cannot_serve_are_refused():
-    from rentlens.operators.similarity import _segment_count
-
+def test_a_ratio_of_nothing_is_refused(spark):
+    df = spark.createDataFrame([("x",)], "a string")
     with pytest.raises(ValueError):
-        _segment_count(F.lit(8), 0.6)
+        similarity.near_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", 0.0)
+
+
+def town(rng):
+    parts = ["neu", "alt", "ober", "unter", "burg", "stadt", "heim", "hausen", "kirch", "bach", "feld", "wald",
+             "see", "berg", "dorf", "furt", "brunn", "zell", "ried", "moos", "gross", "klein", "sankt", "bad"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(2, 4)))
+
+
+@pytest.mark.parametrize("limit", [resolve.BROADCAST_LIMIT, 0])
+def test_candidates_at_a_low_ratio_are_few_and_whole(spark, limit):
+    """At 0.6 a small part of all pairs is met and scored, and none that reaches it is missed."""
+    rng = random.Random(8)
+    left, right = ({town(rng) for _ in range(n)} for n in (250, 300))
+    a = spark.createDataFrame([(x,) for x in left], "a string")
+    b = spark.createDataFrame([(x,) for x in right], "b string")
+    met = similarity.character_pairs(a, b, "a", "b", 0.6, limit)
+    found = {tuple(r) for r in similarity.near_pairs(a, b, "a", "b", 0.6, limit).collect()}
+    truth = {(x, y) for x in left for y in right if 2 * plain_lcs(x, y) >= 0.6 * (len(x) + len(y)) - 1e-9}
+    n_met, n_all = met.count(), len(left) * len(right)
+    assert truth <= found
+    assert n_met <= 0.25 * n_all, n_met / n_all
+    assert len(found) <= 0.2 * n_all, len(found) / n_all
+
+
+def test_close_match_at_a_low_cutoff_equals_difflib(spark):
+    rng = random.Random(4)
+    choices, wanted = sorted({town(rng) for _ in range(40)}), sorted({town(rng)[1:] for _ in range(25)})
+    w = spark.createDataFrame([(x,) for x in wanted], "name string")
+    c = spark.createDataFrame([(x,) for x in choices], "choice string")
+    got = {r["name"]: r["choice"] for r in similarity.close_match(w, c, "name", "choice", 0.55).collect()}
+    for x in wanted:
+        best = difflib.get_close_matches(x, choices, n=1, cutoff=0.55)
+        assert got.get(x) == (best[0] if best else None), x
