@@ -314,8 +314,9 @@ def with_fixtures(body: str) -> str:
     body = body.strip()
     if not tables:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {tables},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{tables},\n{body[len(start):]}"
     return f"WITH {tables}\n{body}"
 
 

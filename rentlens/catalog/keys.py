@@ -286,13 +286,50 @@ def i2(t):
     return named.select("plz5", "city_norm", F.col("GKZ").alias("AGS")).distinct()
 
 
-@query("G10_match_fuzzy")
+def _sorted_words(x: str) -> str:
+    words = f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+    return f"array_to_string(list_sort({words}), ' ')"
+
+
+@query(
+    "G10_match_fuzzy",
+    f"""WITH RECURSIVE {MATCH},
+        fc AS (SELECT plz5, AGS, MIN(row_no) AS row_no, {_sorted_words("concat_ws('|', g, o)")} AS b
+               FROM c0 GROUP BY plz5, AGS, g, o),
+        fq AS (SELECT *, {_sorted_words("concat_ws(' ', nm, nm)")} AS a FROM ls),
+        fp AS (SELECT fq.*, fc.AGS, fc.row_no, fc.b,
+                      CASE WHEN substr(fc.AGS, 1, 5) = k5 THEN 0 WHEN substr(fc.AGS, 1, 2) = b2 THEN 1
+                           ELSE 2 END AS pool
+               FROM fq JOIN fc ON fq.plz5 = fc.plz5),
+        fb AS (SELECT *, MIN(pool) OVER (PARTITION BY plz5, nm, k5, b2) AS best_pool FROM fp),
+        {q.common_subsequences("(SELECT a, b FROM fp WHERE a <> '' AND b <> '')")},
+        fs AS (SELECT fb.*, 100.0e0 * (1 - (length(a) + length(b) - 2 * n) / (length(a) + length(b))::DOUBLE) AS score
+               FROM fb JOIN lcs USING (a, b) WHERE pool = best_pool),
+        best AS (SELECT plz5, nm, k5, b2, arg_min(AGS, row_no) AS AGS FROM
+                 (SELECT *, MAX(score) OVER (PARTITION BY plz5, nm, k5, b2) AS top FROM fs)
+                 WHERE score = top AND score >= 90 GROUP BY 1, 2, 3, 4)
+        SELECT l.listing_id, l.geo_plz, l.regio3, AGS AS GKZ
+        FROM fx_places_listed l JOIN l0 USING (listing_id) LEFT JOIN best b ON l0.plz5 = b.plz5
+             AND l0.nm = b.nm AND l0.k5 IS NOT DISTINCT FROM b.k5 AND l0.b2 IS NOT DISTINCT FROM b.b2""",
+)
 def g10(t):
     matched = resolve.match_fuzzy(t.fx("places_listed"), t.fx("keymap"))
     return matched.select("listing_id", "geo_plz", "regio3", "GKZ")
 
 
-@query("G11_close_match")
+def _close(wanted: str, choices: str) -> str:
+    """``closest (b, a, ratio)``: the best choice of each wanted name from 0.87 on."""
+    return f"""{q.match_ratios(f"(SELECT a, b FROM ({choices}) x(a), ({wanted}) y(b) WHERE a <> '' AND b <> '')")},
+        closest AS (SELECT b, arg_max(a, (ratio, a)) AS a, MAX(ratio) AS ratio FROM ratios
+                    WHERE ratio >= 0.87 GROUP BY b)"""
+
+
+@query(
+    "G11_close_match",
+    f"""WITH RECURSIVE {_close(f"SELECT DISTINCT {q.n1('city_or_plz')} FROM fx_requests",
+                               f"SELECT DISTINCT {q.n1('Gemeindename')} FROM fx_zensus")}
+        SELECT b AS name, ratio AS score, a AS choice FROM closest""",
+)
 def g11(t):
     wanted = t.fx("requests").select(places.dashboard(F.col("city_or_plz")).alias("name"))
     choices = t.fx("zensus").select(places.dashboard(F.col("Gemeindename")).alias("choice"))
@@ -382,26 +419,38 @@ def g12(t):
 PICKED_ALL = "CASE periode " + " ".join(f"WHEN '{p}' THEN `{p}`" for p in PERIOD_COLUMNS) + " END"
 
 
-@query(
-    "G13_city_defaults_exact",
-    f"""WITH z AS (SELECT *, {q.n1('Gemeindename')} AS n, row_number() OVER
+def _city_defaults(close: str, name: str) -> str:
+    return f"""WITH RECURSIVE z AS (SELECT *, {q.n1('Gemeindename')} AS n, row_number() OVER
                    (PARTITION BY {q.n1('Gemeindename')} ORDER BY GKZ) AS rn FROM fx_zensus),
         a AS (SELECT {q.n1('Gemeindename')} AS n, ARS, row_no FROM fx_keymap
               UNION ALL SELECT {q.n1('Ort')}, ARS, row_no FROM fx_keymap),
         f AS (SELECT n, arg_min(ARS, row_no) AS ARS FROM a WHERE n <> '' GROUP BY n),
-        r AS (SELECT request_id, city_or_plz AS city, periode,
-                     nullif({q.n1('city_or_plz')}, '') AS n FROM fx_requests)
+        r0 AS (SELECT request_id, city_or_plz AS city, periode,
+                     nullif({q.n1('city_or_plz')}, '') AS n FROM fx_requests),
+        {close}
+        r AS ({name})
         SELECT request_id, city, periode, coalesce(GKZ, f.ARS) AS ARS, Insgesamt AS zensus_total,
                {PICKED_ALL} AS zensus_decade,
                {PICKED_ALL} / nullif(Insgesamt, 0) AS zensus_factor
-        FROM r LEFT JOIN z ON r.n = z.n AND z.rn = 1 LEFT JOIN f ON r.n = f.n""",
-)
+        FROM r LEFT JOIN z ON r.spelled = z.n AND z.rn = 1 LEFT JOIN f ON r.n = f.n"""
+
+
+@query("G13_city_defaults_exact", _city_defaults("", "SELECT *, n AS spelled FROM r0"))
 def g13(t):
     requests = t.fx("requests").withColumnRenamed("city_or_plz", "city")
     return resolve.city_defaults(requests, t.fx("zensus"), t.fx("keymap"), fuzzy=False)
 
 
-@query("G13_city_defaults_fuzzy")
+UNKNOWN = "SELECT DISTINCT n FROM r0 WHERE n NOT IN (SELECT n FROM z WHERE n IS NOT NULL)"
+
+
+@query(
+    "G13_city_defaults_fuzzy",
+    _city_defaults(
+        _close(UNKNOWN, "SELECT DISTINCT n FROM z") + ",",
+        "SELECT r0.*, coalesce(c.a, r0.n) AS spelled FROM r0 LEFT JOIN closest c ON r0.n = c.b",
+    ),
+)
 def g13_fuzzy(t):
     requests = t.fx("requests").withColumnRenamed("city_or_plz", "city")
     return resolve.city_defaults(requests, t.fx("zensus"), t.fx("keymap"))

@@ -219,3 +219,38 @@ def plausible(area: str, rent: str) -> str:
 def train_hash(key: str) -> str:
     """True for test rows: the hash of the key falls into the first fifth."""
     return f"substr(md5(CAST({key} AS VARCHAR)), 1, 8) < '33333333'"
+
+
+def common_subsequences(pairs: str) -> str:
+    """``lcs (a, b, n)`` of the distinct ``(a, b)`` of a table, one character of b a round."""
+    return f"""
+    lcs_rows AS (
+      SELECT DISTINCT a, b, 0 AS k, list_transform(range(length(a) + 1), lambda i: 0::BIGINT) AS r FROM {pairs}
+      UNION ALL
+      SELECT a, b, k + 1, list_transform(range(1, length(a) + 2), lambda j: list_max(t[1:j]))
+      FROM (SELECT *, list_transform(range(length(a) + 1), lambda j:
+              CASE WHEN j = 0 THEN 0 WHEN substr(a, j, 1) = substr(b, k + 1, 1) THEN r[j] + 1
+                   ELSE r[j + 1] END) AS t
+            FROM lcs_rows WHERE k < length(b))),
+    lcs AS (SELECT a, b, list_max(r) AS n FROM lcs_rows WHERE k = length(b))"""
+
+
+def match_ratios(pairs: str) -> str:
+    """``ratios (a, b, ratio)``: the longest equal block, then those on both sides of it."""
+    block = """list_max(flatten(list_transform(range(alo, ahi), lambda i:
+        list_transform(range(blo, bhi), lambda j: [list_max(list_filter(range(0, least(ahi - i, bhi - j) + 1),
+          lambda l: substr(a, (i + 1)::INT, l::INT) = substr(b, (j + 1)::INT, l::INT))), -i, -j]))))"""
+    return f"""
+    blocks AS (
+      SELECT *, {block} AS m FROM (
+        SELECT DISTINCT a, b, 0::BIGINT AS alo, length(a)::BIGINT AS ahi, 0::BIGINT AS blo,
+               length(b)::BIGINT AS bhi FROM {pairs})
+      UNION ALL
+      SELECT *, {block} AS m FROM (
+        SELECT a, b, x.alo, x.ahi, x.blo, x.bhi FROM (
+          SELECT a, b, unnest([
+            {{'alo': alo, 'ahi': -m[2], 'blo': blo, 'bhi': -m[3]}},
+            {{'alo': m[1] - m[2], 'ahi': ahi, 'blo': m[1] - m[3], 'bhi': bhi}}]) AS x
+          FROM blocks WHERE m[1] > 0))),
+    ratios AS (SELECT a, b, 2.0e0 * sum(coalesce(m[1], 0)) / (length(a) + length(b)) AS ratio
+               FROM blocks GROUP BY a, b)"""
