@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rentlens.operators.columns import clean_headers, quoted
+from rentlens.operators.frames import keep
 from rentlens.schemas import strings
+from rentlens.sources.records import records
 
 BOM = "﻿"
 SEPARATORS = ",;\t|"
@@ -66,45 +68,55 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def scan_csv_robust(spark: SparkSession, path: str, sample_lines: int = 20) -> DataFrame:
-    """Separator and encoding found out, no header, all text, overlong lines skipped.
+    """Separator and encoding found out, no header, all text, overlong records left out.
 
-    Columns are ``col_0 …`` as many as most lines of the whole file have, so a title line
-    above a table does not cut it; short lines are filled up with null. ``line`` orders the
-    rows as in the file; ``overlong_lines`` counts what is skipped.
+    Columns are ``col_0 …`` as many as most records of the whole file have, so a title line
+    above a table does not cut it; short records are filled up with null. A quoted cell may
+    hold line feeds. ``line`` orders the rows as in the file.
+    """
+    return scan_csv_checked(spark, path, sample_lines)[0]
+
+
+def scan_csv_checked(
+    spark: SparkSession, path: str, sample_lines: int = 20
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``scan_csv_robust`` and the records it rejects.
+
+    Rejected are records with more cells than most: ``line``, ``cells`` and ``value``.
     """
     encoding = detect_encoding(spark, path)
-    reader = spark.read.option("encoding", encoding).option("escape", '"')
-    text = spark.read.text(path).select(_decoded(F.col("value"), encoding).alias("value"))
-    sample = [r["value"].lstrip(BOM) for r in text.take(sample_lines)]
+    text = spark.read.text(path).select(
+        _decoded(F.col("value"), encoding).alias("value"), file_order().alias("line")
+    )
+    sample = [r["value"].lstrip(BOM) for r in text.select("value").take(sample_lines)]
     sep = sniff_separator(sample)
-    width = common_width(text, sep)
+    plain = text.withColumn("value", F.regexp_replace("value", "^" + BOM, ""))
+    whole = keep(records(plain, sep).where(F.trim("value") != ""))
+    width = common_width(whole, sep)
     names = [f"col_{i}" for i in range(width)]
-    raw = reader.schema(strings([*names, "overflow"])).option("sep", sep).csv(path)
-    ordered = raw.withColumn("line", file_order())
-    kept = ordered.where(F.col("overflow").isNull()).drop("overflow")
-    first = F.regexp_replace(F.col("col_0"), "^" + BOM, "") if width else F.lit(None)
-    return kept.withColumn("col_0", first)
+    options = {"sep": sep, "escape": '"', "lineSep": "\u0001", "maxCharsPerColumn": "-1"}
+    kinds = ", ".join(f"{c} string" for c in [*names, "overflow"])
+    cells = F.from_csv("value", kinds, options)
+    parsed = whole.select("line", "value", cells.alias("c")).select("line", "value", "c.*")
+    rows = parsed.where(F.col("overflow").isNull()).select(*names, "line")
+    over = parsed.where(F.col("overflow").isNotNull())
+    return rows, over.select("line", _width(sep).alias("cells"), "value")
 
 
 def _width(sep: str) -> Column:
-    """Cells of a line; separators inside quotes do not count."""
+    """Cells of a record; separators inside quotes do not count."""
     bare = F.regexp_replace("value", '"[^"]*"', "")
     return F.size(F.split(bare, re.escape(sep), -1))
 
 
 def common_width(lines: DataFrame, sep: str) -> int:
-    """The number of cells that most lines have, the larger one of equals; 0 without lines."""
+    """The number of cells that most records have, the larger one of equals; 0 without any."""
     filled = lines.where(F.trim("value") != "")
     widths = filled.groupBy(_width(sep).alias("width")).count()
     row = widths.agg(F.max(F.struct("count", "width")).alias("top")).first()
     return row["top"]["width"] if row["top"] else 0
 
 
-def overlong_lines(lines: DataFrame, sep: str) -> int:
-    """How many lines (column ``value``) have more cells than most lines."""
-    return lines.where(_width(sep) > common_width(lines, sep)).count()
-
-
 def _decoded(c: Column, encoding: str) -> Column:
     return c if encoding == "UTF-8" else F.decode(c.cast("binary"), encoding)
 
