@@ -91,10 +91,10 @@ def a5(t):
     return found.drop("path")
 
 
-@query("A6_cap_rows", "SELECT listing_id, baseRent FROM fx_places_listed ORDER BY listing_id LIMIT 1000")
+@query("A6_cap_rows", "SELECT listing_id, baseRent FROM fx_places_listed ORDER BY listing_id LIMIT 12000")
 def a6(t):
     return sampling.cap_rows(
-        t.fx("places_listed").select("listing_id", "baseRent"), 1000, ["listing_id"]
+        t.fx("places_listed").select("listing_id", "baseRent"), 12_000, ["listing_id"]
     )
 
 
@@ -128,9 +128,10 @@ def a8(t):
 )
 def a9(t):
     path = tables.shared_dir(t.spark)
-    for source in ("first", "second"):
-        tables.append_listings(columns.tag_source(_standard(t), source), path)
-    return t.spark.read.parquet(path).select("listing_id", "source", "rent_cold")
+    # The second upload is tried twice.
+    for source in ("first", "second", "second"):
+        tables.append_listings(columns.tag_source(_standard(t), source), path, source)
+    return tables.read_listings(t.spark, path).select("listing_id", "source", "rent_cold")
 
 
 @query("A10_replace_listings", STANDARD)
@@ -138,7 +139,7 @@ def a10(t):
     path = tables.shared_dir(t.spark)
     tables.replace_listings(_standard(t).withColumn("old", F.lit(1)), path)
     tables.replace_listings(_standard(t), path)
-    return t.spark.read.parquet(path)
+    return tables.read_listings(t.spark, path)
 
 
 @query("A11_write_stage", "SELECT ARS, AGS, Gemeindename, PLZ, Ort, row_no FROM fx_keymap")

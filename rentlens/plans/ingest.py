@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rentlens.operators import columns, sampling
 from rentlens.sources import archives, files, tables
@@ -20,10 +21,13 @@ def ingest_csv(
     source: str = "kaggle",
     max_rows: int | None = None,
     order: list[str] | None = None,
+    upload: str | None = None,
 ) -> int:
     """Append the rows of a delimited file and return how many there were.
 
     ``max_rows`` takes the first rows in ``order``, by default the order of the file.
+    ``upload`` names the upload; by default its files as they are do, so a job that is tried
+    again leaves its rows once.
     """
     raw = files.scan_csv_strings(spark, path)
     if max_rows and not order:
@@ -31,7 +35,14 @@ def ingest_csv(
         raw = sampling.cap_rows(placed, max_rows, ["__line"]).drop("__line")
     elif max_rows:
         raw = sampling.cap_rows(raw, max_rows, order or [])
-    return tables.append_listings(standard_rows(raw, source), table)
+    return tables.append_listings(standard_rows(raw, source), table, upload or upload_name(spark, path))
+
+
+def upload_name(spark: SparkSession, path: str) -> str:
+    """A name for the files at a path: their places, sizes and times."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    rows = found.agg(F.sort_array(F.collect_list(F.concat_ws("|", "path", "length", "modificationTime"))).alias("all"))
+    return rows.select(F.md5(F.array_join("all", "\n"))).first()[0]
 
 
 def ingest_zip(
@@ -40,10 +51,11 @@ def ingest_zip(
     table: str,
     source: str = "kaggle",
     max_rows: int | None = None,
+    upload: str | None = None,
 ) -> int:
     """Append the rows of the first CSV file of every archive; none of them gives 0."""
     names = archives.zip_columns(spark, path)
     if not names:
         return 0
     raw = archives.scan_zip_csv(spark, path, names, max_rows).select(*names)
-    return tables.append_listings(standard_rows(raw, source), table)
+    return tables.append_listings(standard_rows(raw, source), table, upload or upload_name(spark, path))

@@ -84,7 +84,7 @@ def test_archives(spark, tmp_path):
     table = str(tmp_path / "table")
     assert ingest.ingest_zip(spark, str(tmp_path / "*.zip"), table) == 3
     assert ingest.ingest_zip(spark, str(tmp_path / "c.zip"), table) == 0
-    got = {r["zip_code"]: r for r in spark.read.parquet(table).collect()}
+    got = {r["zip_code"]: r for r in tables.read_listings(spark, table).collect()}
     assert got["01067"]["rent_cold"] == 500.0 and got["01067"]["extra_json"] == '{"extra":"q"}'
     assert got["10115"]["source"] == "kaggle" and got["10115"]["extra_json"] == '{"extra":null}'
 
@@ -96,7 +96,7 @@ def test_upload_and_stream_give_the_same_table(spark, tmp_path):
     table, streamed = str(tmp_path / "t"), str(tmp_path / "s")
     assert ingest.ingest_csv(spark, str(folder / "1.csv"), table) == 2
     assert ingest.ingest_csv(spark, str(folder / "1.csv"), str(tmp_path / "m"), max_rows=1) == 1
-    assert spark.read.parquet(str(tmp_path / "m")).first()["zip_code"] == "01067"
+    assert tables.read_listings(spark, str(tmp_path / "m")).first()["zip_code"] == "01067"
     schema = schemas.strings(["plz", "price", "livingSpace", "note"])
 
     def run():
@@ -105,7 +105,7 @@ def test_upload_and_stream_give_the_same_table(spark, tmp_path):
         return spark.read.parquet(streamed)
 
     order = ["zip_code"]
-    want = [r.asDict() for r in spark.read.parquet(table).orderBy(*order).collect()]
+    want = [r.asDict() for r in tables.read_listings(spark, table).orderBy(*order).collect()]
     assert [r.asDict() for r in run().orderBy(*order).collect()] == want
     assert run().count() == 2  # the same file is not read twice
     write(folder / "2.csv", "plz,price,livingSpace,note\n10115,700,60,y\n")
@@ -129,3 +129,54 @@ def test_shared_dir_comes_from_the_cluster(spark):
     assert path != tables.shared_dir(spark)
     if base:
         assert path.startswith(base.rstrip("/"))
+
+
+def listed(spark, path):
+    return sorted((r["id"], r["v"]) for r in tables.read_listings(spark, path).collect())
+
+
+def test_an_upload_that_is_tried_again_leaves_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(5).selectExpr("id", "'a' AS v")
+    assert tables.append_listings(df, path, "one") == 5
+    assert tables.append_listings(df.where("id < 2"), path, "two") == 2
+    assert tables.append_listings(df.withColumn("v", F.lit("b")), path, "one") == 5
+    assert listed(spark, path) == sorted([(i, "b") for i in range(5)] + [(0, "a"), (1, "a")])
+    assert tables.append_listings(df, path) == 5 and tables.append_listings(df, path) == 5
+    assert len(listed(spark, path)) == 17
+
+
+def test_the_same_file_twice_is_one_upload(spark, tmp_path):
+    path = write(tmp_path / "u.csv", "plz,price,livingSpace\n01067,500,40\n24103,600,50\n")
+    for _ in range(2):
+        assert ingest.ingest_csv(spark, path, str(tmp_path / "t")) == 2
+    assert tables.read_listings(spark, str(tmp_path / "t")).count() == 2
+    assert ingest.ingest_csv(spark, path, str(tmp_path / "t"), upload="by name") == 2
+    assert tables.read_listings(spark, str(tmp_path / "t")).count() == 4
+
+
+def test_a_replacement_that_fails_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_listings(spark.range(3).selectExpr("id", "'old' AS v"), path)
+    old = listed(spark, path)
+    late = spark.range(0, 200, 1, 4).selectExpr("id", "if(id = 190, raise_error('no'), 'new') AS v")
+    with pytest.raises(Exception, match="no"):
+        tables.replace_listings(late, path)
+    assert listed(spark, path) == old
+    assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith("_writing")]
+    # From the table itself, and with an upload on top that the next version drops.
+    tables.replace_listings(tables.read_listings(spark, path).withColumn("v", F.lit("new")), path)
+    tables.append_listings(spark.range(9, 10).selectExpr("id", "'more' AS v"), path, "x")
+    assert listed(spark, path) == [(0, "new"), (1, "new"), (2, "new"), (9, "more")]
+    tables.replace_listings(spark.range(1).selectExpr("id", "'last' AS v"), path)
+    assert listed(spark, path) == [(0, "last")]
+    assert len(list((tmp_path / "t").glob("version-*"))) == 2
+
+
+def test_a_version_that_another_job_took_is_not_overwritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_listings(spark.range(3).selectExpr("id", "'old' AS v"), path)
+    spark.range(1).write.parquet(f"{path}/_writing-x")
+    with pytest.raises(Exception):
+        tables._rename(spark, f"{path}/_writing-x", f"{path}/version-000001")
+    assert len(listed(spark, path)) == 3
