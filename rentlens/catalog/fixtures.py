@@ -257,11 +257,22 @@ SQL: dict[str, str] = {
         FROM {orders}
     """,
     "fx_payments": """
-        SELECT CAST(l_orderkey AS INT) AS lease_id, CAST(l_shipdate AS DATE) AS paid_on,
+        SELECT CAST(l_orderkey * 8 + l_linenumber AS INT) AS id, CAST(l_orderkey AS INT) AS lease_id,
+               CAST(l_shipdate AS DATE) AS paid_on,
                l_extendedprice / 100.0e0 AS amount, 'rent' AS type,
                CAST(NULL AS STRING) AS note
         FROM {lineitem}
     """,
+    # Side costs; a few belong to leases that were never written.
+    "fx_charges": """
+        SELECT CAST(l_orderkey * 8 + l_linenumber AS INT) AS id,
+               CASE WHEN l_orderkey % 53 = 0 THEN CAST(-l_orderkey AS INT)
+                    WHEN l_orderkey % 31 <> 0 THEN CAST(l_orderkey AS INT) END AS lease_id,
+               SUBSTRING(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7) AS period,
+               CASE WHEN l_returnflag = 'R' THEN 'heating' ELSE 'water' END AS type,
+               l_extendedprice * l_tax AS amount, CAST(NULL AS STRING) AS note
+        FROM {lineitem}
+    """,
     "fx_reminders": """
         SELECT CAST(o_orderkey AS INT) AS request_id, CAST(o_orderkey % 250 AS INT) AS unit_id,
                CAST(o_custkey AS INT) AS tenant_id, CAST(o_orderkey % 12 AS INT) AS owner_id,

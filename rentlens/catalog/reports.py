@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from rentlens.catalog.registry import query
 from rentlens.operators import reports
@@ -55,13 +54,11 @@ def leases(t):
 
 @query(
     "M2_payment_list",
-    """SELECT lease_id AS `Vertrag`, paid_on AS `Datum`, amount AS `Betrag`, type AS `Typ`,
+    """SELECT id AS `ID`, lease_id AS `Vertrag`, paid_on AS `Datum`, amount AS `Betrag`, type AS `Typ`,
               note AS `Notiz` FROM fx_payments""",
 )
 def payments(t):
-    return reports.payment_list(t.fx("payments").withColumn("id", F.lit(None).cast("int"))).drop(
-        "ID"
-    )
+    return reports.payment_list(t.fx("payments"))
 
 
 @query(
@@ -138,7 +135,7 @@ def unit_context(t):
 _KEYS = [
     ("properties", "owner_id", "owners"), ("units", "property_id", "properties"),
     ("leases", "unit_id", "units"), ("leases", "tenant_id", "tenants"),
-    ("payments", "lease_id", "leases"),
+    ("payments", "lease_id", "leases"), ("charges", "lease_id", "leases"),
 ]
 
 
@@ -152,5 +149,5 @@ _KEYS = [
     ),
 )
 def orphans(t):
-    names = ["owners", "properties", "units", "tenants", "leases", "payments"]
+    names = ["owners", "properties", "units", "tenants", "leases", "payments", "charges"]
     return reports.orphan_rows({name: t.fx(name) for name in names})

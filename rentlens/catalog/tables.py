@@ -219,23 +219,34 @@ def h5(t):
     )
 
 
+# Every column of the listings with its type.
 _PROFILED = {
-    "listing_id": "bigint", "floor": "double", "totalRent": "double", "regio3": "string",
-    "garden": "string", "heatingType": "string",
+    "listing_id": "bigint",
+    **dict.fromkeys(
+        ["baseRent", "livingSpace", "noRooms", "floor", "yearConstructed", "totalRent", "pricetrend"], "double"
+    ),
+    **dict.fromkeys(
+        [
+            "serviceCharge", "regio1", "regio2", "regio3", "geo_plz", "geo_krs", "hasKitchen", "balcony",
+            "garden", "lift", "heatingType", "typeOfFlat", "condition",
+        ],
+        "string",
+    ),
+    "listed_on": "date",
 }
 
 
 @query(
     "H6_missing_summary",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS `column`, COUNT(*) - COUNT({c}) AS missing_count, "
-        f"round_even(AVG(CASE WHEN {c} IS NULL THEN 1.0e0 ELSE 0.0e0 END) * 100, 1) "
-        f"AS missing_pct, '{kind}' AS dtype FROM fx_places_listed"
+        f"SELECT '{c}' AS `column`, COUNT(*) - COUNT(`{c}`) AS missing_count, "
+        f"round_even(AVG(CASE WHEN `{c}` IS NULL THEN 1.0e0 ELSE 0.0e0 END) * 100, 1) "
+        f"AS missing_pct, '{kind}' AS dtype FROM fx_listings"
         for c, kind in _PROFILED.items()
     ),
 )
 def h6(t):
-    return aggregates.missing_summary(t.fx("places_listed").select(*_PROFILED))
+    return aggregates.missing_summary(t.fx("listings"))
 
 
 _DESCRIBED = ["baseRent", "floor", "totalRent"]
