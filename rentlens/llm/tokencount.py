@@ -22,6 +22,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Fixed value: the characters that the pattern's ``\\s`` stands for, many of them in a row.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
 #: A section ends after each line feed.
 SECTION_END = rb"\n"
 
@@ -44,6 +47,23 @@ def _encoder(path: str):
     return own, widths
 
 
+def encoded(encoder, text: str) -> list[int]:
+    """The tokens of a text, with no search over very long blank runs.
+
+    The pattern takes a run of blanks but for its last one, which it leaves to what follows;
+    at the end of the text it takes the whole run. Its search keeps a state per blank, so long
+    runs are cut out by that rule and encoded as the one piece they are.
+    """
+    out: list[int] = []
+    done = 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoder.encode_ordinary(text[done : run.start()])
+        out += encoder._encode_single_piece(text[run.start() : end])
+        done = end
+    return out + encoder.encode_ordinary(text[done:])
+
+
 def attributed(
     ends: np.ndarray, stops: np.ndarray, raw: np.ndarray, rule: str
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +94,20 @@ def _counter(path: str, rule: str):
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            keys = pa.array([k for k, c in held for _ in range(len(c[0]))], pa.int64())
+            keys = pa.array([k for k, c in held for _ in range(len(c[0]))], kind)
             columns = [np.concatenate([c[i] for _, c in held]) for i in range(5)]
             return pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
-        rows = 0
+        rows, kind = 0, pa.int64()
         for batch in batches:
+            kind = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
                 raw = np.frombuffer(data, np.uint8)
                 stops = np.array([m.end() for m in re.finditer(SECTION_END, data)], np.int64)
                 if not len(stops) or stops[-1] < len(data):
                     stops = np.append(stops, len(data))
-                ids = np.array(encoder.encode_ordinary(text or ""), np.int64)
+                ids = np.array(encoded(encoder, text or ""), np.int64)
                 tokens, crossing = attributed(np.cumsum(widths[ids]), stops, raw, rule)
                 chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[stops]
                 begins = np.concatenate(([0], chars[:-1]))
@@ -113,6 +134,6 @@ def count_sections(
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    kinds = "key long, section long, start long, end long, n_tokens long, n_crossing long"
+    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kinds = f"key {plain.schema['key'].dataType.simpleString()}, section long, start long, end long, n_tokens long, n_crossing long"
     return plain.mapInArrow(_counter(path, rule), kinds).withColumnRenamed("key", key)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -346,3 +347,57 @@ def test_pipeline_equals_its_stages_in_plain_code(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[1:]:
         nothing = stage(spark, nothing, str(tmp_path))
     assert nothing.count() == 0
+
+
+TAGS = ["table", "tr", "td", "th", "div", "b", "p", "ul", "li", "caption", "thead", "tbody", "span", "blockquote", "pre",
+        "head", "body", "style", "dl", "dd", "form", "br"]
+
+
+def test_rendering_survives_any_nesting():
+    """Pages of random tags, deep ones among them; all of them end in text."""
+    rng = random.Random(7)
+    for _ in range(400):
+        page = "".join(
+            rng.choice(["<%s>", "</%s>", "<%s>x"]) % rng.choice(TAGS) for _ in range(rng.randint(1, 120))
+        )
+        assert isinstance(html.rendered(page), str)
+    for inner in ("div", "b", "td", "tr", "ul", "blockquote"):
+        for n in (1, 63, 64, 65, 300):
+            page = "<table>" + f"<{inner}>" * n + "<td>cell</td>" + "tail"
+            assert "cell" in html.rendered(page) and "tail" in html.rendered(page)
+    assert html.rendered("<table>" + "<div>" * 70 + "<td>x") == "x"
+
+
+def test_rendering_takes_time_in_proportion():
+    start = time.time()
+    deep = "<div>" * 20_000 + "<table>" + "<tr><td>a<td>b" * 20_000
+    assert html.rendered(deep).count("a | b") == 20_000
+    assert html.rendered("<p>" + "<b>x</b>" * 200_000).count("x") == 200_000
+    assert len(html.rendered("<blockquote>" * 3000 + "y<br>" * 3000)) < 3000 * 200
+    wide = "<table>" + "<tr><td>" + "w" * 100_000 + "<td>1" + "<tr><td>s<td>2" * 5000 + "</table>"
+    assert len(html.rendered(wide)) < 3 * len(wide)
+    assert time.time() - start < 20
+
+
+def test_style_sheets_hide():
+    page = "<style>/* .c{display:none} */ .a, #i {color:red; display:none} em{visibility:hidden} @media print{.c{display:none}}</style>"
+    page += "<p class='x a'>no</p><p id=i>no</p><em>no</em><p class=c>yes</p><p class=b>also</p>"
+    assert html.rendered(page) == "yes\n\nalso"
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u2003", "\r\n"])
+def test_long_blank_runs_have_the_tokens_of_the_whole_text(blank):
+    encoder, _ = tokencount._encoder(tokencount.VOCABULARY)
+    for n in (999, 1000, 1001, 3000):
+        run = (blank * n)[:n]
+        for text in (run, f"a{run}", f"{run}b", f"one{run}two {run}3{run}!", f"x{run}\x1cy", f"{run}'s"):
+            assert tokencount.encoded(encoder, text) == encoder.encode_ordinary(text)
+
+
+def test_sections_of_two_million_blanks(spark):
+    rows = [(1, " " * 2_000_000), (2, "a" + "\n" * 100_000 + "b"), (3, "word " * 10 + "\t" * 1_500_000 + "end")]
+    got = tokencount.count_sections(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["doc_id"]: (r["n"], r["chars"]) for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").alias("chars")).collect()}
+    assert found == {1: (1, 2_000_000), 2: (100_001, 100_002), 3: (1, 1_500_053)}
+    named = tokencount.count_sections(spark.createDataFrame([("a", "x y"), (None, "z")], "doc_id string, text string"))
+    assert {r["doc_id"] for r in named.collect()} == {"a", None}
