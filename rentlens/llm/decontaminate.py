@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import BROADCAST_ROWS, lower_az, staged
+from rentlens.llm.common import BROADCAST_ROWS, lower_az, shielded, staged
 
 WINDOW = 10
 GRAM = 5
@@ -243,7 +243,9 @@ def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     digests = docs.select(digest.alias("__digest"), F.col(text).alias("text"))
     marked = mark(digests, items, key="__digest", **options)
-    found = staged(marked.where("contaminated").select("__digest").distinct())
-    return docs.withColumn("__digest", digest).join(
-        _small(found, BROADCAST_ROWS), "__digest", "left_anti"
-    ).select(docs.columns)
+    found = _small(staged(marked.where("contaminated").select("__digest").distinct()), BROADCAST_ROWS)
+
+    def kept(plain: DataFrame) -> DataFrame:
+        return plain.withColumn("__digest", digest).join(found, "__digest", "left_anti").drop("__digest")
+
+    return shielded(docs, [text], kept)

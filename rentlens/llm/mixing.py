@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import WORD, join_small, staged, without_clashes
+from rentlens.llm.common import WORD, join_small, numbered_equal, shielded, staged
 
 #: A source takes at most so many times its size, and so does a document.
 MOST = 3
@@ -24,7 +24,6 @@ NEWTON_STEPS = 80
 #: The threshold is searched digit by digit: bits of a digit, digits, bits of the draw.
 DIGIT_BITS, DIGITS, DRAW_BITS = 10, 3, 48
 
-OWN = ["size", "source_size", "target", "rate", "copies", "taken", "__group", "__draw"]
 
 
 def words(text: Column) -> Column:
@@ -109,12 +108,14 @@ def multiplier(size: Column, target: Column) -> Column:
 
 
 def cuts(units: DataFrame, groups: DataFrame) -> DataFrame:
-    """The largest draw of each group that gets one more copy.
+    """``__group, cut, tie, ties``: units with a draw up to ``cut`` get one more copy, and of
+    those with the draw ``tie`` the first ``ties``.
 
     ``units`` has ``__group, size, __draw``; ``groups`` has ``__group, quota``. Units are
     taken in the order of their draws while that brings the tokens nearer the quota. The
     place is found digit by digit from sums by digit, so no task sees a whole group; only
-    the units that share all digits of the cut are ordered one by one.
+    the draws that share all digits of the cut are ordered. Equal units have equal draws and
+    sizes: they are counted, and the cut may fall among them.
     """
     state = groups.select("__group", "quota", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("done"))
     state = staged(state)
@@ -149,14 +150,31 @@ def cuts(units: DataFrame, groups: DataFrame) -> DataFrame:
     inside = join_small(units, state, ["__group"], "inner").where(
         F.shiftright("__draw", rest) == F.shiftright("low", rest)
     )
-    ties = inside.groupBy("__group", "quota", "low", "done", "__draw").agg(F.sum("size").alias("size"))
+    equal = inside.groupBy("__group", "quota", "low", "done", "__draw").agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
+    )
     running = F.sum("size").over(
         Window.partitionBy("__group").orderBy("__draw").rowsBetween(Window.unboundedPreceding, 0)
     )
-    upto = F.col("done") + running
-    nearer = ties.withColumn("near", 2 * upto - F.col("size") <= 2 * F.col("quota"))
-    cut = nearer.groupBy("__group", "low").agg(F.max(F.when(F.col("near"), F.col("__draw"))).alias("last"))
-    return staged(cut.select("__group", F.coalesce("last", F.col("low") - 1).alias("cut")))
+    before = F.col("done") + running - F.col("size")
+    # A unit is taken while its middle is not past the quota.
+    each = F.col("size") / F.col("n")
+    fits = F.floor((F.col("quota") - before) / each + 0.5)
+    take = F.when(F.col("size") == 0, F.when(before <= F.col("quota"), F.col("n")).otherwise(0)).otherwise(
+        F.least(F.greatest(fits, F.lit(0)), F.col("n"))
+    )
+    taken = equal.withColumn("take", take.cast("long"))
+    whole = F.max(F.when(F.col("take") == F.col("n"), F.col("__draw")))
+    part = F.max(F.when((F.col("take") > 0) & (F.col("take") < F.col("n")), F.struct("__draw", "take")))
+    cut = taken.groupBy("__group", "low").agg(whole.alias("whole"), part.alias("part"))
+    return staged(
+        cut.select(
+            "__group",
+            F.coalesce("whole", F.col("low") - 1).alias("cut"),
+            F.col("part.__draw").alias("tie"),
+            F.col("part.take").alias("ties"),
+        )
+    )
 
 
 def balance(
@@ -171,11 +189,19 @@ def balance(
     """Adds size, source_size, target, rate, copies and taken to every document.
 
     Null text has size 0; null sources form one group, last in the order; repeated rows
-    draw alike and count once each; columns named like the added ones are replaced; an
-    empty table gives an empty result.
+    draw alike, and where the cut falls among them, as many of them as fit the target get one
+    more copy; columns named like the added ones are replaced; an empty table gives an empty
+    result.
     """
-    plain = without_clashes(docs, OWN)
-    sized = plain.select(
+    return shielded(
+        docs, [key, text, source], lambda plain: _balanced(plain, key, text, source, weights, most)
+    )
+
+
+def _balanced(
+    docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], most: int
+) -> DataFrame:
+    sized = docs.select(
         "*",
         words(F.col(text)).alias("size"),
         group_key(F.col(source)).alias("__group"),
@@ -190,17 +216,25 @@ def balance(
         .withColumn("base", F.floor("rate"))
         .withColumn("quota", F.col("target") - F.col("base") * F.col("source_size"))
     )
-    cut = cuts(units, plan)
-    found = plan.join(cut, "__group", "left").select(
-        "__group", "source_size", "target", "rate", "base",
-        # Without a cut the quota is not passed: every document gets one more.
-        F.coalesce("cut", F.lit((1 << DRAW_BITS) - 1).cast("long")).alias("cut"),
+    found = staged(
+        plan.join(cuts(units, plan), "__group", "left").select(
+            "__group", "source_size", "target", "rate", "base", "tie", "ties",
+            # Without a cut the quota is not passed: every document gets one more.
+            F.coalesce("cut", F.lit((1 << DRAW_BITS) - 1).cast("long")).alias("cut"),
+        )
     )
+    joined = join_small(sized, found, ["__group"], "inner")
+    tied = F.coalesce(F.col("__draw") == F.col("tie"), F.lit(False))
     more = (F.col("__draw") <= F.col("cut")).cast("long")
-    copies = F.least(F.col("base") + more, F.lit(most).cast("long"))
+    apart = joined.where(~tied).withColumn("copies", F.col("base") + more)
+    both = apart
+    if not found.where("tie is not null").isEmpty():
+        counted = numbered_equal(joined.where(tied), ["__group"])
+        both = apart.unionByName(
+            counted.withColumn("copies", F.col("base") + (F.col("__number") < F.col("ties")).cast("long")).drop("__number")
+        )
     return (
-        join_small(sized, staged(found), ["__group"], "inner")
-        .withColumn("copies", copies)
+        both.withColumn("copies", F.least(F.col("copies"), F.lit(most).cast("long")))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*plain.columns, "size", "source_size", "target", "rate", "copies", "taken")
+        .select(*docs.columns, "size", "source_size", "target", "rate", "copies", "taken")
     )

@@ -28,8 +28,7 @@ p AS (
 c AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.rate,
     p.target - floor(p.rate) * p.source_size AS quota,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS upto,
-    sum(d.size) OVER (PARTITION BY d.source, d.draw) AS own
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw ROWS UNBOUNDED PRECEDING) AS upto, d.size AS own
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
   (least(floor(rate) + (2 * upto - own <= 2 * quota)::INT, 3) * size)::BIGINT AS taken,
@@ -69,14 +68,14 @@ FROM d LEFT JOIN h USING (row) LEFT JOIN it USING (row)
 
 ORACLES["op10_exact_top_k"] = r"""
 WITH v AS (
-  SELECT DISTINCT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentlens.llm.common import join_small, staged, without_clashes
+from rentlens.llm.common import drawn, join_small, staged, without_clashes
 
 #: Most labelled documents, about, that the classifier is fitted on; drawn by a hash.
 SAMPLE_LABELS = 20_000
@@ -115,11 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str,
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     marks = staged(marks.groupBy(F.col(key).alias("key")).agg(F.avg(label).alias("mark")))
     rate = min(1.0, sample / max(1, marks.count()))
-    drawn = marks.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    some = marks.where(drawn("key", rate))
     means = [F.avg(F.col("x")[i]) for i in range(len(features(b"-")))]
     rows = (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .join(F.broadcast(drawn), "key")
+        .join(F.broadcast(some), "key")
         .select("key", "mark", feature_column(F.col("text")).alias("x"))
         # Summed where the rows are, so about ``sample`` rows at most leave, by the draw above.
         .groupBy("key", "mark")

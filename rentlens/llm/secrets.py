@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import lower_az, without_clashes
+from rentlens.llm.common import drawn, lower_az, shielded
 
 # The keywords and patterns of the contract.
 KEYWORDS = ["password", "passwd", "secret", "token", "api_?key"]
@@ -176,12 +176,12 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
         .distinct()
     )
     rate = min(1.0, sample_docs / max(1, docs.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    some = texts.where(drawn("t", rate))
     cleaned = "t"
     for pattern in (ASSIGN, ACCESS, LONG_HEX):
         cleaned = F.regexp_replace(cleaned, pattern, " ")
     ordinary = (
-        drawn.select(cleaned.alias("t"))
+        some.select(cleaned.alias("t"))
         .select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("s"))
         .select(F.lit("ordinary").alias("kind"), lower_az(F.col("s")).alias("s"))
     )
@@ -325,9 +325,12 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "<secret>") -> Da
 
     All rows and columns are kept, ``n_chars`` too unless the text changed.
     """
-    ratios = train(docs, text)
-    helpers = ["__assign", "__access", "__hex", "__rest", "__base", "__free", "__spans"]
-    found = with_spans(without_clashes(docs, helpers), ratios, text)
+    needed = [text, *[c for c in ("n_chars",) if c in docs.columns]]
+    return shielded(docs, needed, lambda plain: _redacted(plain, text, mark))
+
+
+def _redacted(docs: DataFrame, text: str, mark: str) -> DataFrame:
+    found = with_spans(docs, train(docs, text), text)
     whole = F.col(text)
     rebuilt = _replaced(whole, "__spans", lambda s, pos: F.when(s["start"] >= pos, F.lit(mark)).otherwise(""))
     changed = found.withColumn(text, F.when(F.size("__spans") > 0, rebuilt).otherwise(whole))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentlens.llm.common import staged
+from rentlens.llm.common import row_digest, shielded, staged
 from rentlens.llm.components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -157,9 +157,15 @@ def _one_wildcard(members: DataFrame) -> DataFrame:
 
 
 def groups(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    bits: int = BITS,
+    digest: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The stage table ``(key, fp, row_hash)`` and ``(fp, root, component_id)``.
+    """The stage table ``(key, fp)``, with ``row_hash`` if asked, and ``(fp, root, component_id)``.
 
     ``component_id`` is the smallest key reachable; null keys do not count, and a group of
     null keys only has a null one.
@@ -168,7 +174,7 @@ def groups(
         docs.select(
             F.col(key).alias("key"),
             fingerprint(F.col(text), shingle).alias("fp"),
-            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"),
+            *([row_digest(docs).alias("row_hash")] if digest else []),
         )
     )
     nodes = staged(rows.groupBy("fp").agg(F.min("key").alias("least")))
@@ -204,23 +210,26 @@ def one_of_each(
     Among rows with the same key the smallest row hash stays, and of rows that are the same
     in every column one.
     """
-    rows, found = groups(docs, key=key, text=text, shingle=shingle, bits=bits)
+    return shielded(docs, [key, text], lambda plain: _first_of_each(plain, key, text, shingle, bits))
+
+
+def _first_of_each(docs: DataFrame, key: str, text: str, shingle: int, bits: int) -> DataFrame:
+    rows, found = groups(docs, key=key, text=text, shingle=shingle, bits=bits, digest=True)
     order = F.struct(F.col("key").isNull().alias("none"), "key", "row_hash")
     rooted = rows.join(found.select("fp", "root"), "fp")
-    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
-    chosen = staged(best.select("best.key", "best.row_hash", "root"))
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__best"))
-    picks = chosen.select(F.col("key").alias("__key"), F.col("row_hash").alias("__best"))
-    kept = docs.withColumn("__hash", row_hash).join(picks, same, "left_semi")
+    best = rooted.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+    chosen = staged(best.select(F.col("best.row_hash").alias("__hash")))
+    kept = docs.withColumn("__hash", row_digest(docs)).join(chosen, "__hash", "left_semi")
     # Rows that repeat in every column would all be chosen.
     copies = staged(
-        rows.join(chosen.withColumnRenamed("root", "r"), ["row_hash"], "left_semi")
-        .groupBy("row_hash")
+        rows.withColumnRenamed("row_hash", "__hash")
+        .join(chosen, "__hash", "left_semi")
+        .groupBy("__hash")
         .count()
         .where("count > 1")
-        .select(F.col("row_hash").alias("__hash"))
+        .select("__hash")
     )
     single = kept.join(copies, "__hash", "left_anti").select(docs.columns)
-    repeated = kept.join(copies, "__hash", "left_semi").dropDuplicates(["__hash"])
-    return single.unionByName(repeated.select(docs.columns))
+    repeated = kept.join(copies, "__hash", "left_semi")
+    first = repeated.groupBy("__hash").agg(*[F.first(c).alias(c) for c in docs.columns])
+    return single.unionByName(first.select(docs.columns))

@@ -33,16 +33,35 @@ CANDIDATE_BLOCK, QUERY_BLOCK, SLAB = 16_384, 1_024, 64
 FIRST_READ = 4
 
 
+#: Largest whole component; products of two, and sums of ten thousand, fit 38 digits.
+LARGEST = 2.0**55
+
+#: Below this, products and sums of a thousand of them fit 64 bits.
+SMALL = 1 << 26
+
+
 def integers(vector: Column) -> Column:
-    """floor(256 x) of every component; null where the vector cannot take part."""
-    scaled = F.transform(vector, lambda x: x.cast("double") * SCALE)
-    fits = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**31))
-    return F.when(fits & (F.size(vector) > 0), F.transform(scaled, lambda x: F.floor(x).cast("int")))
+    """floor(256 x) of every component; null where the vector cannot take part.
+
+    A component beyond ``LARGEST`` counts as that.
+    """
+    x = lambda v: v.cast("double")
+    fits = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(x(v)) & (F.abs(x(v)) < float("inf")))
+    bounded = lambda v: F.greatest(F.least(x(v) * SCALE, F.lit(LARGEST)), F.lit(-LARGEST))
+    return F.when(fits & (F.size(vector) > 0), F.transform(vector, lambda v: F.floor(bounded(v))))
 
 
 def _score(a: str, b: str) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("long") * y)
-    return F.aggregate(products, F.lit(0).cast("long"), lambda s, p: s + p)
+    """Inner product; beyond 64 bits the nearest 64-bit number."""
+    small = lambda v: F.forall(v, lambda x: F.abs(x) < SMALL) & (F.size(v) <= 1_000)
+    products = F.zip_with(a, b, lambda x, y: x * y)
+    plain = F.aggregate(products, F.lit(0).cast("long"), lambda s, p: s + p)
+    wide = "decimal(19,0)"
+    terms = F.zip_with(a, b, lambda x, y: (x.cast(wide) * y.cast(wide)).cast("decimal(38,0)"))
+    total = F.aggregate(terms, F.lit(0).cast("decimal(38,0)"), lambda s, p: (s + p).cast("decimal(38,0)"))
+    ends = [F.lit(e).cast("decimal(38,0)") for e in (str(-(1 << 63)), str((1 << 63) - 1))]
+    exact = F.greatest(F.least(total, ends[1]), ends[0]).cast("long")
+    return F.when(small(a) & small(b), plain).otherwise(exact)
 
 
 def _marks(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -115,10 +134,27 @@ def _bounds(marks, top: int):
 
 
 def _smallest_ids(vectors: DataFrame, top: int) -> DataFrame:
-    """Distinct vectors with their ``top + 1`` smallest ids: no other id can be reported."""
+    """Distinct vectors with the ids of their first ``top + 1`` rows: no other can be reported.
+
+    ``vectors`` has one row per id and vector, with how many rows it stands for.
+    """
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = vectors.withColumn("place", place).where(F.col("place") <= top + 1)
-    return few.groupBy("v", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    repeated = F.flatten(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("id", F.least("times", F.lit(top + 1)).cast("int").alias("n")))),
+            lambda s: F.array_repeat(s["id"], s["n"]),
+        )
+    )
+    return few.groupBy("v", "dim").agg(F.slice(repeated, 1, top + 1).alias("ids"))
+
+
+def _without_one(ids: Column, id_: Column) -> Column:
+    """The ids without one row of the query's own id."""
+    at = F.array_position(ids, id_).cast("int")
+    return F.when(at == 0, ids).otherwise(
+        F.concat(F.slice(ids, F.lit(1), at - 1), F.slice(ids, at + 1, F.size(ids)))
+    )
 
 
 def _best(found: DataFrame, top: int) -> DataFrame:
@@ -136,16 +172,18 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` best of every query row.
 
-    Queries are the rows whose key is divisible by ``query_step``; candidates are all rows
-    of another key and the same number of components. Rows without a key, null or empty
-    vectors, and vectors with a null or non-finite component (or one beyond 31 bits after
-    scaling) take no part. Rows repeated in key and vector count once. Ties go to the
-    smaller key; a query without candidates has no rows.
+    Queries are the rows whose key is divisible by ``query_step``; candidates are all other
+    rows with the same number of components, so a second row with the query's key is one,
+    and a query row that is repeated has its results once per row. Rows without a key, null
+    or empty vectors, and vectors with a null or non-finite component take no part. Ties go
+    to the smaller key; a score beyond 64 bits counts as the nearest 64-bit number; a query
+    without candidates has no rows.
     """
     vectors = staged(
         table.select(F.col(key).cast("long").alias("id"), integers(F.col(vector)).alias("v"))
         .where("id is not null and v is not null")
-        .distinct()
+        .groupBy("id", "v")
+        .agg(F.count(F.lit(1)).alias("times"))
         .withColumn("dim", F.size("v"))
     )
     distinct = staged(_smallest_ids(vectors, top).withColumn("cid", F.monotonically_increasing_id()))
@@ -193,14 +231,14 @@ def top_k(
     )
 
     def read(pairs: DataFrame) -> DataFrame:
-        """Exact scores of the pairs; an id of the query itself is left out."""
+        """Exact scores of the pairs; of a query's own vector one row of its id is left out."""
         exact = (
             pairs.join(distinct.select("cid", "ids", F.col("v").alias("w")), "cid")
-            .join(queries.select("qid", F.col("id").alias("query"), "v"), "qid")
-            .select("qid", "query", "ids", _score("v", "w").alias("score"))
+            .join(queries.select("qid", F.col("id").alias("query"), "own", "v"), "qid")
+            .withColumn("rest", F.when(F.col("cid") == F.col("own"), _without_one(F.col("ids"), F.col("query"))).otherwise(F.col("ids")))
+            .select("qid", "query", "rest", _score("v", "w").alias("score"))
         )
-        others = exact.select("qid", "query", "score", F.explode("ids").alias("id"))
-        return others.where("id <> query")
+        return exact.select("qid", "query", "score", F.explode("rest").alias("id"))
 
     few = F.col("nth") <= FIRST_READ * top
     first = staged(_best(read(open_.where(few)), top))
@@ -209,6 +247,10 @@ def top_k(
     # A bound equal to the k-th score may hide a tie with a smaller id.
     rest = rest.where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("qid", "cid")
     found = _best(first.drop("rank").unionByName(read(rest)), top)
-    return found.select(
-        F.col("query").alias("query_id"), "rank", F.col("id").alias(key), "score"
+    # A query row that occurs more than once stands in the result as often.
+    times = F.explode(F.sequence(F.lit(1).cast("long"), "times"))
+    return (
+        found.join(queries.select("qid", "times"), "qid")
+        .withColumn("row", times)
+        .select(F.col("query").alias("query_id"), "rank", F.col("id").alias(key), "score")
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 import xxhash
@@ -104,25 +106,69 @@ def test_empty_tables(spark):
     assert vafile.top_k(none).count() == 0
 
 
+def plain_top(rows):
+    ends = (-(1 << 63), (1 << 63) - 1)
+    ok = [
+        (i, [math.floor(256 * x) for x in v])
+        for i, v in rows
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    want = Counter()
+    for at, (q, a) in enumerate(ok):
+        if q % 50:
+            continue
+        found = sorted(
+            (-min(max(sum(x * y for x, y in zip(a, b)), ends[0]), ends[1]), i)
+            for other, (i, b) in enumerate(ok)
+            if other != at and len(a) == len(b)
+        )
+        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(found[:5]))
+    return want
+
+
+def check_top(spark, rows):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, vafile.top_k(table).collect())) == plain_top(rows)
+
+
 def test_top_k_equals_brute_force_with_ties_nulls_and_repeats(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(260)]
     rows += [(300 + i, rows[50][1]) for i in range(12)]
     rows += [(50, rows[50][1]), (400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8)]
-    rows += [(None, rows[3][1]), (403, []), (450, [0.5, 0.25]), (451, [1.0, -1.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vafile.top_k(table).collect()}
-    import math
-
-    ok = {
-        (i, tuple(math.floor(256 * x) for x in v))
-        for i, v in rows
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
-    }
-    want = {}
-    for q, a in ok:
-        if q % 50:
-            continue
-        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))
-        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(found[:5])}
-    assert got == want
+    rows += [(None, rows[3][1]), (403, []), (450, [0.5, 0.25]), (451, [1.0, -1.0]), (404, [float("inf")] * 8)]
+    check_top(spark, rows)
+
+
+def test_top_k_takes_rows_as_they_are(spark):
+    """Rows of a query's own key, rows that repeat, and components of any ordinary size."""
+    rng = random.Random(9)
+    same = [rng.uniform(-1, 1) for _ in range(4)]
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(50, same), (50, same), (50, same), (100, same), (7, same), (7, same), (2, same)] + [(50, rows[3][1])] * 9
+    check_top(spark, rows)
+    check_top(spark, rows + [(500, [9e6, 1.0, -9e6, 3e7]), (501, [9e6] * 4), (550, [1e12, -1e12, 5.0, 0.25])])
+
+
+def test_mix_cuts_among_equal_rows(spark):
+    """Half of a source is one row over and over: as many of them are taken as fit."""
+    rows = [(1, "w " * 100, "a")] * 60 + [(2 + i, "w " * 100, "a") for i in range(40)]
+    rows += [(200 + i, "v " * 255, "b") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.balance(df).collect()
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    again = mixing.balance(df.repartition(2)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+@pytest.mark.parametrize("share", [2000 / 10**11, 1e-9, 0.3, 1.0])
+def test_draws_hold_at_any_size(spark, share):
+    """A share of one in fifty million still draws: its bound is far above zero."""
+    from rentlens.llm.common import drawn
+
+    n = spark.range(200_000).where(drawn("id", share)).count()
+    assert abs(n - 200_000 * share) <= 5 * (200_000 * share) ** 0.5 + 1
+    plan = spark.range(1).select(drawn("id", share).alias("d"))._jdf.queryExecution().toString()
+    assert "< 0)" not in plan

@@ -401,3 +401,31 @@ def test_sections_of_two_million_blanks(spark):
     assert found == {1: (1, 2_000_000), 2: (100_001, 100_002), 3: (1, 1_500_053)}
     named = tokencount.count_sections(spark.createDataFrame([("a", "x y"), (None, "z")], "doc_id string, text string"))
     assert {r["doc_id"] for r in named.collect()} == {"a", None}
+
+
+HELPERS = [
+    "__hash", "__best", "__key", "__digest", "__base", "__spans", "__free", "__rest", "__group", "__draw", "__part",
+    "__host", "__path", "__number", "evidence", "site_mean", "fp", "root", "row_hash", "a.b", "extra_0", "Words",
+    "size_of", "mask", "id", "t", "best", "key",
+]
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark, tmp_path):
+    """Names that the operators use themselves, dotted names and maps come back as they were."""
+    base = docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    more = {name: F.concat(F.lit(f"{name}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for name in HELPERS}
+    wide = base.withColumns(more).withColumn("m", F.create_map(F.lit("k"), "doc_id")).persist()
+    wide.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).where("doc_id % 2 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i1", ITEM), ("i2", SHORT_ITEM)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, str(tmp_path))
+        assert set(wide.columns) <= set(out.columns), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            for helper in HELPERS:
+                assert r[helper] == f"{helper}:{'-' if r['doc_id'] is None else r['doc_id']}", (name, helper)
+            assert r["m"] == {"k": r["doc_id"]}
+    wide.unpersist()
