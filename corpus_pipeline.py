@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlens.llm import decontaminate, mixing, quality, secrets, simhash
-from rentlens.llm.common import staged, table
+from rentlens.llm.common import shielded, staged, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier and their site's record accept."""
-    judged = quality.judged(
-        docs, table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang")
-    )
-    return judged.where("accepted").select(docs.columns)
+    labels = table(spark, sf_dir, "labels")
+
+    def accepted(plain: DataFrame) -> DataFrame:
+        judged = quality.judged(plain, labels, host=F.col("source"), path=F.col("lang"))
+        return judged.where("accepted").select(plain.columns)
+
+    return shielded(docs, ["doc_id", "text", "lang", "source"], accepted)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +41,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, with the number of copies that it takes."""
-    mixed = mixing.balance(docs)
-    return mixed.where("copies > 0")
+    """Documents in the mix, with the number of copies that it takes.
+
+    Columns named like those that the mix adds are replaced.
+    """
+    return mixing.balance(docs).where("copies > 0")
 
 
 STAGES = [
