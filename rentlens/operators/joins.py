@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rentlens.operators import frames
 
@@ -24,16 +25,28 @@ ROWS_PER_TASK = 500_000
 
 
 def measured_bytes(frames: list[DataFrame]) -> list[int]:
-    """Size of each frame as JSON text, all of them in one distributed job."""
-    rows = [
-        f.select(F.lit(i).alias("frame"), F.octet_length(F.to_json(F.struct("*"))).alias("bytes"))
-        for i, f in enumerate(frames)
-    ]
+    """Size of each frame as it is kept in memory, all of them in one distributed job.
+
+    Only texts and nested values are looked at; the others have a fixed size.
+    """
+    rows = [f.select(F.lit(i).alias("frame"), _row_bytes(f).alias("bytes")) for i, f in enumerate(frames)]
     sums = reduce(DataFrame.unionAll, rows).groupBy("frame").agg(F.sum("bytes").alias("bytes"))
     found = {r["frame"]: r["bytes"] for r in sums.collect()}
     return [found.get(i, 0) for i in range(len(frames))]
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Eight bytes a column, and what texts and nested values have besides."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return size
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -65,16 +78,17 @@ def lookup_joins(
     The measured frames are kept for the job, so the join does not evaluate a broadcast
     side a second time. ``keep=False`` is for frames that are read from a kept one anyway.
     """
-    # Lookups add columns, so the keys of the original rows tell which ones are hot.
-    original = left
     kept = [frames.keep(right) if keep else right for right, _ in lookups]
-    for right, (_, on), size in zip(kept, lookups, measured_bytes(kept)):
+    sizes = measured_bytes(kept)
+    # Lookups add columns, so the keys of the original rows tell which ones are hot; one pass
+    # counts them for all the lookups that are not broadcast.
+    wide = [on for (_, on), size in zip(lookups, sizes) if size > limit]
+    hot = hot_keys(left, wide, rows_per_task) if wide else []
+    for right, (_, on), size in zip(kept, lookups, sizes):
         if size <= limit:
             left = _join(left, F.broadcast(right), on, how, null_safe)
         else:
-            left = salted_join(
-                left, right, on, how, null_safe=null_safe, counted=original, rows_per_task=rows_per_task
-            )
+            left = salted_join(left, right, on, how, null_safe=null_safe, hot=hot.pop(0))
     return left
 
 
@@ -102,16 +116,16 @@ def salted_join(
     *,
     null_safe: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
-    counted: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join whose hot keys on the left spread over as many tasks as they need.
 
-    Hot keys, the null key among them, are found by one counting job over ``counted`` (by
-    default the left side). They sit in the plan as a small table, so the left side appears
-    in the plan only once.
+    Hot keys, the null key among them, are those of ``hot``, or found by one counting job
+    over the left side. They sit in the plan as a small table, so the left side appears in
+    the plan only once.
     """
-    base = counted if counted is not None else left
-    hot = hot_keys(base, on, rows_per_task)
+    if hot is None:
+        hot = hot_keys(left, [on], rows_per_task)[0]
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
     salt = F.when(F.col("__salts").isNotNull(), F.pmod(spread, F.col("__salts"))).otherwise(0)
     salted_left = (
@@ -124,12 +138,27 @@ def salted_join(
     return _join(salted_left, salted_right, [*on, "__salt"], how, null_safe).drop("__salt")
 
 
-def hot_keys(df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and their ``__salts``, as a broadcast table."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-    salts = F.ceil(F.col("__rows") / rows_per_task).cast("long").alias("__salts")
-    hot = counts.where(F.col("__rows") > rows_per_task).select(*on, salts)
-    return F.broadcast(df.sparkSession.createDataFrame(hot.collect(), hot.schema))
+def hot_keys(
+    df: DataFrame, key_sets: list[list[str]], rows_per_task: int = ROWS_PER_TASK
+) -> list[DataFrame]:
+    """For each set of columns the keys with more than ``rows_per_task`` rows and their
+    ``__salts``, as broadcast tables; counted for all sets in one pass."""
+    distinct = list(dict.fromkeys(map(tuple, key_sets)))
+    columns = list(dict.fromkeys(c for on in distinct for c in on))
+    counts = df.groupingSets([[F.col(f"`{c}`") for c in on] for on in distinct], *[F.col(f"`{c}`") for c in columns])
+    counted = counts.agg(F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("__rows"))
+    rows = counted.where(F.col("__rows") > rows_per_task).collect()
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    tables = {}
+    for on in distinct:
+        # One bit per column, the first one highest, set where the column is grouped away.
+        number = int("".join("0" if c in on else "1" for c in columns), 2)
+        own = [
+            (*[r[c] for c in on], -(-r["__rows"] // rows_per_task)) for r in rows if r["__set"] == number
+        ]
+        schema = T.StructType([*[T.StructField(c, kinds[c]) for c in on], T.StructField("__salts", T.LongType())])
+        tables[on] = F.broadcast(df.sparkSession.createDataFrame(own, schema))
+    return [tables[tuple(on)] for on in key_sets]
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, null_safe: bool) -> DataFrame:

@@ -56,13 +56,29 @@ def test_salts_follow_the_counted_rows(spark):
     """One key with 30 % of the rows, one just below the threshold: no task gets much more."""
     keys = ["hot"] * 3000 + ["warm"] * 199 + [f"k{i}" for i in range(6801)]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k string")
-    hot = {r["k"]: r["__salts"] for r in joins.hot_keys(df, ["k"], 200).collect()}
+    hot = {r["k"]: r["__salts"] for r in joins.hot_keys(df, [["k"]], 200)[0].collect()}
     assert hot == {"hot": 15}
     salt = F.pmod(F.xxhash64("id", "k"), F.lit(15))
     largest = df.where("k = 'hot'").groupBy(salt.alias("s")).count().agg(F.max("count")).first()[0]
     assert largest <= 300
 
 
+def test_hot_keys_of_several_lookups_come_from_one_pass(spark):
+    df = spark.range(1000).select(
+        F.when(F.col("id") < 600, F.lit("a")).alias("k"), (F.col("id") % 2).alias("g.x"), F.lit(1).alias("one")
+    )
+    first, second, third = joins.hot_keys(df, [["k"], ["k", "g.x"], ["one"]], 250)
+    assert {(r[0], r[1]) for r in first.collect()} == {("a", 3), (None, 2)}
+    assert {tuple(r) for r in second.collect()} == {("a", 0, 2), ("a", 1, 2)}
+    assert [tuple(r) for r in third.collect()] == [(1, 4)]
+
+
+def test_sizes_are_those_of_the_rows(spark):
+    df = spark.createDataFrame([("ab", 1, [1, 2]), (None, 2, None)], "t string, n int, a array<int>")
+    assert joins.measured_bytes([df.select("n"), df.select("t", "n"), df.where("false")]) == [16, 34, 0]
+    assert joins.measured_bytes([df])[0] > 48
+
+
 def test_by_distinct_keeps_rows(spark, sides):
     left, _ = sides
     seen = joins.by_distinct(left, ["k"], lambda d: d.withColumn("up", F.upper("k")))
