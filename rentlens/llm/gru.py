@@ -70,94 +70,116 @@ class Gru:
         return Gru(self.words, arrays)
 
     def run(self, ids: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """States after each step of a window (steps, streams, hidden)."""
-        size = h.shape[1]
-        gates = self.a["inputs"][ids]
-        states = np.empty((*ids.shape, size), np.float32)
+        """States after each step of a window (steps, streams, hidden).
+
+        Inside, units are rows and streams columns, so that parts of a gate lie together in
+        memory.
+        """
+        size, (steps, streams) = h.shape[1], ids.shape
+        gates = np.ascontiguousarray(self.a["inputs"][ids].transpose(0, 2, 1))
+        keep = keep[..., 0]
+        turned = np.ascontiguousarray(self.a["state"].T)
+        states = np.empty((steps, size, streams), np.float32)
         before = np.empty_like(states)
-        zr_all = np.empty((*ids.shape, 2 * size), np.float32)
+        zr_all = np.empty((steps, 2 * size, streams), np.float32)
         recurrent, candidate = np.empty_like(states), np.empty_like(states)
-        for t in range(len(ids)):
+        a = np.empty((3 * size, streams), np.float32)
+        h = h.T
+        for t in range(steps):
             np.multiply(h, keep[t], out=before[t])
-            a = before[t] @ self.a["state"]
+            np.matmul(turned, before[t], out=a)
             zr = zr_all[t]
-            np.add(gates[t, :, : 2 * size], a[:, : 2 * size], out=zr)
-            np.multiply(zr, 0.5, out=zr)
+            np.add(gates[t, : 2 * size], a[: 2 * size], out=zr)
+            zr *= 0.5
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            recurrent[t] = a[:, 2 * size :]
+            recurrent[t] = a[2 * size :]
             n = candidate[t]
-            np.multiply(zr[:, size:], recurrent[t], out=n)
-            n += gates[t, :, 2 * size :]
+            np.multiply(zr[size:], recurrent[t], out=n)
+            n += gates[t, 2 * size :]
             np.tanh(n, out=n)
             h = states[t]
             np.subtract(before[t], n, out=h)
-            h *= zr[:, :size]
+            h *= zr[:size]
             h += n
-        return states, (before, zr_all, recurrent, candidate)
+        return states.transpose(0, 2, 1), (before, zr_all, recurrent, candidate)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
-        """Natural log probability of each target id; with ``grads`` also d(loss)/dh."""
+        """Natural log probability of each target id; with ``grads`` also d(loss)/dh.
+
+        Outputs are rows and tokens columns, so that maxima and sums run along the memory.
+        """
         cls = self.class_of[y]
-        logits = h @ self.a["classes"] + self.a["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        z = e.sum(axis=1)
-        rows = np.arange(len(y))
-        out = logits[rows, cls] - np.log(z)
+        out, e = _softmax(self.a["classes"].T @ h.T + self.a["class_bias"][:, None], cls, grads is not None)
         dh = None
         if grads is not None:
-            e /= z[:, None]
-            e[rows, cls] -= 1
-            grads["classes"] += h.T @ e
-            grads["class_bias"] += e.sum(axis=0)
-            dh = e @ self.a["classes"].T
-        order = np.argsort(cls, kind="stable")
+            grads["classes"] += (e @ h).T
+            grads["class_bias"] += e.sum(axis=1)
+            dh = e.T @ self.a["classes"].T
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         starts = np.searchsorted(cls[order], np.arange(self.word_classes + 1))
         for c in range(self.word_classes):
             at = order[starts[c] : starts[c + 1]]
             if not len(at):
                 continue
             hc = h[at]
-            inner = hc @ self.a["slots"][c] + self.a["slot_bias"][c]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            z = e.sum(axis=1)
-            own, slot = np.arange(len(at)), self.slot_of[y[at]]
-            out[at] += inner[own, slot] - np.log(z)
+            inner = self.a["slots"][c].T @ hc.T + self.a["slot_bias"][c][:, None]
+            own, e = _softmax(inner, self.slot_of[y[at]], grads is not None)
+            out[at] += own
             if grads is not None:
-                e /= z[:, None]
-                e[own, slot] -= 1
-                grads["slots"][c] += hc.T @ e
-                grads["slot_bias"][c] += e.sum(axis=0)
-                dh[at] += e @ self.a["slots"][c].T
+                grads["slots"][c] += (e @ hc).T
+                grads["slot_bias"][c] += e.sum(axis=1)
+                dh[at] += e.T @ self.a["slots"][c].T
         return out, dh
 
     def back(self, ids, keep, kept, dstates, grads) -> None:
-        """Backpropagation through the steps of one window."""
+        """Backpropagation through the steps of one window.
+
+        What does not depend on later steps is worked out for all of them at once; the loop
+        only carries the gradient of the state.
+        """
         before, zr, recurrent, candidate = kept
-        size = before.shape[2]
-        dgates = np.empty((*ids.shape, 3 * size), np.float32)
-        da = np.empty((ids.shape[1], 3 * size), np.float32)
-        dh = np.zeros(before.shape[1:], np.float32)
-        for t in range(len(ids) - 1, -1, -1):
+        steps, size, streams = before.shape
+        z, r = zr[:, :size], zr[:, size:]
+        to_n = (1 - z) * (1 - candidate * candidate)
+        to_z = (before - candidate) * z * (1 - z)
+        to_r = recurrent * r * (1 - r)
+        keep, dstates = keep[..., 0], dstates.transpose(0, 2, 1)
+        da = np.empty((steps, 3 * size, streams), np.float32)
+        dgates = np.empty_like(da)
+        dh = np.zeros((size, streams), np.float32)
+        for t in range(steps - 1, -1, -1):
             dh += dstates[t]
-            z, r, n = zr[t, :, :size], zr[t, :, size:], candidate[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before[t] - n) * z * (1 - z)
-            dr = dn * recurrent[t] * r * (1 - r)
-            dgates[t, :, :size], dgates[t, :, size : 2 * size], dgates[t, :, 2 * size :] = dz, dr, dn
-            da[:, : 2 * size] = dgates[t, :, : 2 * size]
-            da[:, 2 * size :] = dn * r
-            grads["state"] += before[t].T @ da
-            dh = (dh * z + da @ self.a["state"].T) * keep[t]
-        flat, g = ids.ravel(), dgates.reshape(-1, 3 * size)
-        order = np.argsort(flat, kind="stable")
+            dn = np.multiply(dh, to_n[t], out=dgates[t, 2 * size :])
+            np.multiply(dh, to_z[t], out=da[t, :size])
+            np.multiply(dn, to_r[t], out=da[t, size : 2 * size])
+            np.multiply(dn, r[t], out=da[t, 2 * size :])
+            dh *= z[t]
+            dh += self.a["state"] @ da[t]
+            dh *= keep[t]
+        dgates[:, : 2 * size] = da[:, : 2 * size]
+        by_unit = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+        grads["state"] += by_unit(before) @ by_unit(da).T
+        flat, g = ids.ravel(), dgates.transpose(0, 2, 1).reshape(-1, 3 * size)
+        order = np.argsort(flat.astype(np.int32), kind="stable")
         seen, starts = np.unique(flat[order], return_index=True)
         grads["inputs"][seen] = np.add.reduceat(g[order], starts, axis=0)
 
 
+def _softmax(logits: np.ndarray, target: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of the target row of each column, and the gradient of its loss."""
+    columns = np.arange(logits.shape[1])
+    logits -= logits.max(axis=0)
+    own = logits[target, columns]
+    e = np.exp(logits, out=logits)
+    z = e.sum(axis=0)
+    if gradient:
+        e /= z
+        e[target, columns] -= 1
+    return own - np.log(z), e
+
+
 def packed(lengths: np.ndarray, streams: int, in_order: bool = False) -> list[list[int]]:
     """Documents dealt to the shortest stream each, longest first; longest stream first.
 
@@ -183,7 +205,7 @@ def windows(
     Targets of a text are its ids and the end; inputs are the end and its ids. Streams that
     have ended leave, so the first ones are active throughout.
     """
-    ends = np.array([model.end])
+    ends = np.array([model.end], np.int32)
     targets = [np.concatenate([x for d in s for x in (texts[d], ends)]) for s in dealt]
     begins = []
     for s in dealt:
@@ -224,8 +246,8 @@ def score(model: Gru, texts: list[np.ndarray], streams: int = 768) -> np.ndarray
         states, _ = model.run(x, keep, h[: x.shape[1]])
         got = np.zeros(x.shape, np.float32)
         got[real] = model.log_probs(states[real], y[real])[0]
-        for s in range(x.shape[1]):
-            parts[s].append(got[: int(real[:, s].sum()), s])
+        for s, n in enumerate(real.sum(axis=0).tolist()):
+            parts[s].append(got[:n, s])
         h = states[-1]
     out = np.zeros(len(texts))
     for s, own in enumerate(dealt):

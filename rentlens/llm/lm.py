@@ -38,7 +38,7 @@ END = b"\n"
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 
 #: Tokens that are held before a call of the model, and words before counts are passed on.
-TOKEN_BUFFER, WORD_BUFFER = 1_000_000, 250_000
+TOKEN_BUFFER, WORD_BUFFER = 4_000_000, 250_000
 
 #: Steps of counts, as a ratio, by which the dictionary is cut.
 COUNT_STEPS = 64
@@ -76,18 +76,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(counts: DataFrame, most: int = DICTIONARY_WORDS) -> list[tuple[bytes, int]]:
-    """The most frequent words, ``most`` of them or fewer, most frequent first."""
+    """The ``most`` most frequent words, most frequent first, equal ones by their letters.
+
+    Steps of counts are taken whole while they fit, and the one that does not is cut by the
+    same order, so as many words as may be are in it whatever the counts are.
+    """
+    words = counts.where(F.col("word") != F.lit(END))
     step = F.floor(F.log("n") * COUNT_STEPS).cast("int")
-    sizes = counts.where(F.col("word") != F.lit(END)).groupBy(step.alias("step")).count().collect()
     lowest, total = None, 0
-    for row in sorted(sizes, reverse=True):
-        total += row["count"]
-        if total > most:
-            break
+    for row in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
         lowest = row["step"]
+        if total + row["count"] > most:
+            break
+        total, lowest = total + row["count"], lowest - 1
     if lowest is None:
         return []
-    rows = counts.where((step >= lowest) & (F.col("word") != F.lit(END))).collect()
+    whole = words.where(step > lowest)
+    part = words.where(step == lowest).orderBy(F.col("n").desc(), "word").limit(max(0, most - total))
+    rows = whole.union(part).collect()
     return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
@@ -99,7 +105,7 @@ def _learner(flat, model: Gru, words):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = tokens(text)
-                texts.append(np.fromiter(map(ids.get, found, repeat(own.other)), np.int64, len(found)))
+                texts.append(np.fromiter(map(ids.get, found, repeat(own.other)), np.int32, len(found)))
                 held += len(found)
                 if held > TOKEN_BUFFER:
                     learned += trainer.learn(texts)
@@ -197,7 +203,7 @@ def _scorer(flat, model: Gru, words, counts, end_count: int):
                     float(known.sum()) + end_log, float(known[beyond].sum()),
                     int(beyond.sum()) + n_rare, rare,
                 ))
-                texts.append(np.where((rank < 0) | beyond, own.other, rank))
+                texts.append(np.where((rank < 0) | beyond, own.other, rank).astype(np.int32))
                 held += len(found) + 1
                 if held > TOKEN_BUFFER:
                     yield out()

@@ -429,3 +429,43 @@ def test_stages_keep_columns_of_any_name_and_kind(spark, tmp_path):
                 assert r[helper] == f"{helper}:{'-' if r['doc_id'] is None else r['doc_id']}", (name, helper)
             assert r["m"] == {"k": r["doc_id"]}
     wide.unpersist()
+
+
+def test_lm_dictionary_fills_up_whatever_the_counts(spark):
+    same = spark.createDataFrame([(f"w{i:04d}".encode(), 1) for i in range(500)] + [(b"\n", 900), (b"top", 9)], "word binary, n long")
+    assert lm.dictionary(same, 100) == [(b"top", 9)] + [(f"w{i:04d}".encode(), 1) for i in range(99)]
+    assert len(lm.dictionary(same, 501)) == len(lm.dictionary(same, 10_000)) == 501
+    assert lm.dictionary(same, 1) == [(b"top", 9)] and lm.dictionary(same.where("n = 0")) == []
+
+
+def test_lm_score_equals_a_plain_scorer(spark, monkeypatch):
+    """A document's score is that of the network run over it word by word in plain numpy."""
+    kept = {}
+    monkeypatch.setattr(lm, "trained", lambda texts, model, words, f=lm.trained: kept.setdefault("m", f(texts, model, words)))
+    rows = {str(r["doc_id"]) + str(r["n_tokens"]): r["score"] for r in lm.score_documents(docs(spark), model_words=40).collect()}
+    m = kept["m"]
+    train = [words(t) for i, t in texts() if zlib.crc32(str(i if i is not None else "").encode()) % 7 != 2]
+    count = Counter(w for ws in train for w in ws)
+    own = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))[:40]]
+    room = sum(count.values()) - sum(count[w] for w in own) + len(count) - len(own) + 1
+    a = {k: v.astype(float) for k, v in m.a.items()}
+    size = a["state"].shape[0]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, text in texts():
+        if i in (12, 13):
+            continue
+        h, last, total = np.zeros(size), m.end, 0.0
+        for w in [*words(text), None]:
+            gate, rec = a["inputs"][last], h @ a["state"]
+            z, r = sigmoid(gate[:size] + rec[:size]), sigmoid(gate[size : 2 * size] + rec[size : 2 * size])
+            n = np.tanh(gate[2 * size :] + r * rec[2 * size :])
+            h = (1 - z) * n + z * h
+            last = m.end if w is None else own.index(w) if w in own else m.other
+            c = m.class_of[last]
+            total += math.log10(softmax(h @ a["classes"] + a["class_bias"])[c])
+            if last < m.words:
+                total += math.log10(softmax(h @ a["slots"][c] + a["slot_bias"][c])[m.slot_of[last]])
+            elif w is not None:
+                total += math.log10((count[w] + 1) / room)
+        assert rows[str(i) + str(len(words(text)) + 1)] == pytest.approx(total, rel=1e-4, abs=1e-3)
