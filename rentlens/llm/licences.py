@@ -17,7 +17,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import drawn, join_small, lower_az, staged
+from rentlens.llm.common import join_small, lower_az, staged
 
 UNKNOWN = "unknown"
 
@@ -82,13 +82,12 @@ LEAST_SHARE, ORDINARY_SHARE = 0.6, 0.3
 #: Length of a window in words of its template: room for names, dates and comment marks.
 ROOM = 1.5
 
-#: Share of the ordinary passages in the sample that may pass the calibrated probability.
+#: Share of the ordinary passages held back from training that may pass the calibrated
+#: probability, and the accuracy of that quantile: a rank is off by a millionth of the passages.
 PASS_RATE = 0.001
+ACCURACY = 1_000_000
 LEAST_PROBABILITY = 0.5
 
-#: Ordinary passages come from about so many windows, drawn by a hash; half of them train, half calibrate.
-SAMPLE_WINDOWS = 4000
-
 BETWEEN = r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -219,24 +218,24 @@ def _scored(candidates: DataFrame, weights: DataFrame, names: list[str], interce
     )
 
 
-def _ordinary(candidates: DataFrame, distinct: DataFrame, found: DataFrame, sample: int) -> DataFrame:
-    """``words, half``: passages of about ``sample`` windows drawn by a hash, none of them part of a notice.
+def _ordinary(candidates: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``words, half``: the passages of all windows, none of them part of a notice.
 
     A paragraph that holds enough of a template anywhere gives none, nor does a window that
-    holds as much as ordinary text does not.
+    holds as much as ordinary text does not. A hash says which half trains; the other one
+    calibrates.
     """
     most = staged(found.groupBy("id").agg(F.max("similarity").alias("most")).join(distinct, "id"))
     noticed = join_small(candidates, staged(most.where(F.col("most") >= LEAST_SHARE).select("words")), ["words"], "left_semi")
     noticed = staged(noticed.select("row", "paragraph").distinct())
-    share = min(1.0, sample / max(1, distinct.count()))
-    some = candidates.where(drawn("words", share))
-    quiet = staged(join_small(some, noticed, ["row", "paragraph"], "left_anti").select("words").distinct())
-    ids = staged(join_small(most.where(F.col("most") < ORDINARY_SHARE), quiet, ["words"], "left_semi").select("id"))
+    # As many windows as there are texts may be left, each of a hundred words: no hint to broadcast them.
+    quiet = join_small(candidates, noticed, ["row", "paragraph"], "left_anti").select("words").distinct()
+    ids = staged(most.where(F.col("most") < ORDINARY_SHARE).join(quiet, "words", "left_semi").select("id"))
     texts = join_small(found, ids, ["id"], "left_semi").select("words").distinct()
     return staged(texts.withColumn("half", F.pmod(F.xxhash64("words", F.lit(1)), F.lit(2))))
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per paragraph and family it announces: key, paragraph, family, probability, similarity.
 
     Paragraphs stand between blank lines and are counted from 0. Null and empty texts have
@@ -252,12 +251,14 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: in
     distinct = staged(candidates.select("words").distinct().withColumn("id", F.monotonically_increasing_id()))
     found = staged(passages(distinct, known, pairs))
     near = found.where(F.col("similarity") >= LEAST_SHARE)
-    ordinary = _ordinary(candidates, distinct, found, sample)
+    ordinary = _ordinary(candidates, distinct, found)
     weights, names, intercepts = _train(ordinary.where("half = 0").select("words"), known)
     held = ordinary.where("half = 1").withColumn("id", F.monotonically_increasing_id())
     calibration = _scored(staged(held), weights, names, intercepts, ["id"])
     limit = calibration.select(
-        F.percentile_approx(F.when(F.col("family") != UNKNOWN, F.col("probability")).otherwise(0.0), 1 - PASS_RATE)
+        F.percentile_approx(
+            F.when(F.col("family") != UNKNOWN, F.col("probability")).otherwise(0.0), 1 - PASS_RATE, ACCURACY
+        )
     ).first()[0]
     least = max(LEAST_PROBABILITY, limit or 0.0)
     texts = staged(near.select("words").distinct().withColumn("text_id", F.monotonically_increasing_id()))

@@ -205,6 +205,21 @@ def test_licences_wrapped_short_and_inside_prose(spark):
         (1, 0, "proprietary"), (1, 0, "proprietary"), (2, 1, "mit"), (3, 0, "bsd"), (4, 0, "cc-by-nc"), (4, 0, "mit")]
 
 
+def test_licences_learn_from_every_window(spark, monkeypatch):
+    """6,000 texts with an ordinary passage of their own: all of them train or calibrate."""
+    seen, real = [], licences._ordinary
+
+    def ordinary(*args):
+        found = real(*args)
+        seen.append({m for r in found.collect() for m in r["words"] if m.startswith("own")})
+        return found
+
+    monkeypatch.setattr(licences, "_ordinary", ordinary)
+    text = F.concat(F.lit("a copy was lost and own"), F.col("id"), F.lit(" no part of the software"))
+    assert licences.scan(spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"))).count() == 0
+    assert len(seen[0]) == 6000
+
+
 def plain_hits(text, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     own, hit, found = cut(text), set(), set()
