@@ -40,8 +40,9 @@ ENCODING = {
     "condition": ONE_HOT, "typeOfFlat": ONE_HOT, "heatingType_clean": ONE_HOT, "periode_0005": ONE_HOT,
 }
 
-#: Training rows of a task.
-ROWS_PER_TASK = 10_000
+#: Training rows that are worth a task of their own while cores are free, and those that a
+#: task takes once there is one for every core.
+LEAST_ROWS, ROWS_PER_TASK = 10_000, 250_000
 
 
 def train_table(listings: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -68,19 +69,24 @@ def known_share(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Persisted rows, ``ROWS_PER_TASK`` to a partition.
-
-    Every partition sends its statistics of all open nodes; more partitions than the rows
-    need would only multiply them.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    wide = kept.repartition(-(-kept.count() // ROWS_PER_TASK) or 1)
+def spread_rows(df: DataFrame, count: int) -> DataFrame:
+    """The ``count`` rows persisted in as many partitions as ``tasks_for`` says."""
+    wide = df.repartition(tasks_for(count, df.sparkSession.sparkContext.defaultParallelism))
     wide.persist(StorageLevel.MEMORY_AND_DISK).count()
-    kept.unpersist()
     return wide
 
 
+def tasks_for(rows: int, cores: int) -> int:
+    """Tasks of a pass over training rows: one a core, then whole rounds of ``ROWS_PER_TASK`` rows.
+
+    Every partition sends its statistics of all open nodes, whatever the number of its rows,
+    so more partitions than the cores or a task's memory need would only multiply them.
+    """
+    if rows <= cores * ROWS_PER_TASK:
+        return max(1, min(cores, -(-rows // LEAST_ROWS)))
+    return cores * -(-rows // (cores * ROWS_PER_TASK))
+
+
 def fit_forest(
     train: DataFrame,
     numeric_names: list[str],
@@ -108,7 +114,9 @@ def fit_forest(
     ).fit(train)
     ready = preparation.out_of_fold(train)
     vectors = Pipeline(stages=vector_stages(numeric_names, one_hot, by_target)).fit(ready)
-    rows = spread_rows(vectors.transform(ready).select("features", target))
+    # Lookups and vectors neither add nor drop rows.
+    rows = spread_rows(vectors.transform(ready).select("features", target), train.count())
+    train.unpersist()
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=target,
@@ -120,8 +128,7 @@ def fit_forest(
         seed=seed,
         maxMemoryInMB=1024,
     ).fit(rows)
-    for kept in (rows, train):
-        kept.unpersist()
+    rows.unpersist()
     return PipelineModel(stages=[preparation, *vectors.stages, forest])
 
 

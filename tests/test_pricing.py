@@ -180,3 +180,12 @@ def test_suggestions(spark, fitted):
     model, _ = fitted
     scored = {r.unit_id: r.suggested_rent for r in pricing.suggest_rent(units, houses, model).collect()}
     assert set(scored) == {1, 2} and scored != rule
+
+
+def test_partitions_of_a_fit_follow_the_cores(spark):
+    """Each partition sends the statistics of all nodes: never one for every few thousand rows."""
+    assert [pricing.tasks_for(n, 12) for n in (0, 1, 50_000, 3_000_000, 3_000_001, 43_200_000)] == [1, 1, 5, 12, 24, 180]
+    cores = spark.sparkContext.defaultParallelism
+    wide = pricing.spread_rows(spark.range(cores * 25_000), cores * 25_000)
+    assert wide.rdd.getNumPartitions() == cores and wide.count() == cores * 25_000
+    wide.unpersist()
