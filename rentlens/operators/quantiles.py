@@ -130,22 +130,27 @@ def narrowed(
         shift -= DIGIT
         counted = inside.groupBy(
             *by, "__parent", F.shiftright("__bits", shift).alias("__prefix")
-        ).agg(*_counts(), *_carried())
-        state = cut(_step(counted, "__prefix", state, by, len(ranks)))
+        ).agg(*_counts())
+        state = cut(_step(_carried(counted, state, by), "__prefix", state, by, len(ranks)))
 
 
 def remaining(rows: DataFrame, state: DataFrame, shift: int, by: list[str]) -> DataFrame:
     """Distinct values around each rank: at most ``FEW`` a rank."""
     inside = _inside(rows, state, shift, by)
-    return inside.groupBy(*by, "__parent", "__v").agg(*_counts(), *_carried())
+    return _carried(inside.groupBy(*by, "__parent", "__v").agg(*_counts()), state, by)
 
 
 def _counts() -> list[Column]:
     return [F.count("__v").alias("__c"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
 
 
-def _carried() -> list[Column]:
-    return [F.any_value(c).alias(c) for c in ("__rows", "__n", "__at")]
+def _carried(counted: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """Counts with the state of their group, joined after counting: an array that went
+    through the aggregate would have every row sorted for it."""
+    if by:
+        return lookup_join(counted, state, by, "inner", null_safe=True)
+    known = state.select(F.struct("__rows", "__n", "__at")).scalar()
+    return counted.withColumn("__known", known).select(*counted.columns, "__known.*")
 
 
 def _apart(state: DataFrame) -> tuple[bool, bool]:
@@ -157,14 +162,11 @@ def _apart(state: DataFrame) -> tuple[bool, bool]:
 
 
 def _inside(rows: DataFrame, state: DataFrame, shift: int, by: list[str]) -> DataFrame:
-    """Rows whose leading bits are those of a wanted rank, with the state of their group."""
-    if by:
-        marked = lookup_join(rows, state, by, "inner", null_safe=True)
-    else:
-        known = state.select(F.struct("__rows", "__n", "__at")).scalar()
-        marked = rows.withColumn("__known", known).select("__v", "__bits", "__known.*")
-    marked = marked.withColumn("__parent", F.shiftright("__bits", shift))
-    return marked.where(F.exists("__at", lambda at: at["prefix"] == F.col("__parent")))
+    """Rows whose leading bits are those of a wanted rank of their group."""
+    prefixes = F.explode(F.array_distinct(F.transform("__at", lambda at: at["prefix"])))
+    wanted = state.select(*by, prefixes.alias("__parent")).where(F.col("__parent").isNotNull())
+    marked = rows.withColumn("__parent", F.shiftright("__bits", shift))
+    return lookup_join(marked, wanted, [*by, "__parent"], "left_semi", null_safe=True)
 
 
 def _step(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentlens.operators.columns import numeric, quoted, resolve_features
-from rentlens.operators.frames import cut
+from rentlens.operators.frames import cut, owned
 from rentlens.operators.impute import column_medians
 from rentlens.operators.joins import lookup_join
 
@@ -180,9 +180,12 @@ def _fills(df: DataFrame, numbers: list[str], texts: list[str]) -> dict:
     fills: dict = {c: 0.0 for c in numbers} | {c: "unknown" for c in texts}
     if numbers:
         typed = df.select(*[numeric(df, c).cast("double").alias(c) for c in numbers])
-        row = df.sparkSession.range(1).select(
-            *[m.alias(c) for c, m in column_medians(typed, numbers).items()]
-        ).first()
+        # The cells that the medians keep are as many as the rows times the columns; they go
+        # before the fit, which needs the memory.
+        with owned():
+            row = df.sparkSession.range(1).select(
+                *[m.alias(c) for c, m in column_medians(typed, numbers).items()]
+            ).first()
         fills |= {c: row[c] for c in numbers if row[c] is not None}
     if texts:
         long = df.select(*[quoted(c).cast("string").alias(c) for c in texts]).unpivot(

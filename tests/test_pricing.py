@@ -5,7 +5,7 @@ import functools
 import pytest
 from pyspark.sql import functions as F
 
-from rentlens.operators import joins, sampling
+from rentlens.operators import frames, joins, sampling
 from rentlens.plans import encoding, pricing
 from rentlens.sources import tables
 
@@ -189,3 +189,9 @@ def test_partitions_of_a_fit_follow_the_cores(spark):
     wide = pricing.spread_rows(spark.range(cores * 25_000), cores * 25_000)
     assert wide.rdd.getNumPartitions() == cores and wide.count() == cores * 25_000
     wide.unpersist()
+
+
+def test_medians_leave_nothing_in_memory_for_the_fit(spark):
+    with frames.owned() as owner:
+        prepared(places(spark, 200, 20))
+        assert not owner._kept

@@ -106,3 +106,11 @@ def test_plans_have_no_counting_median(spark):
     plan = filled._jdf.queryExecution().toString()
     assert "median(" not in plan and "percentile(" not in plan
     assert sorted(map(tuple, filled.collect())) == [("a", 1.0, 2.0), ("a", 1.0, 2.0)]
+
+
+def test_digits_are_counted_without_sorting_the_rows(spark):
+    """The state of a group joins the counts; an array in the aggregate would sort every row."""
+    _, df = data(spark, 500)
+    rows = quantiles.with_ordered_bits(df.select("g", F.col("x").alias("__v")), "__v", "__bits")
+    state, shift, _ = quantiles.narrowed(rows, [0.5], ["g"])
+    assert "SortAggregate" not in quantiles.remaining(rows, state, shift, ["g"])._jdf.queryExecution().toString()
