@@ -5,6 +5,8 @@ import functools
 import pytest
 from pyspark.sql import functions as F
 
+from rentlens.catalog import models
+from rentlens.catalog.fixtures import Tables
 from rentlens.operators import frames, joins, sampling
 from rentlens.plans import encoding, pricing
 from rentlens.sources import tables
@@ -195,3 +197,11 @@ def test_medians_leave_nothing_in_memory_for_the_fit(spark):
     with frames.owned() as owner:
         prepared(places(spark, 200, 20))
         assert not owner._kept
+
+
+@pytest.mark.parametrize("split", ["_rich_split"])
+def test_rows_of_the_model_queries_are_cleaned_once(spark, split):
+    """Fit and scores read a stage, not the listings with all their joins again."""
+    parts = getattr(models, split)(Tables(spark, "/root/testdata/sf0.001"))
+    for part in parts:
+        assert part.count() and not any("orders" in f or "lineitem" in f for f in part.inputFiles())
