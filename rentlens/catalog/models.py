@@ -46,6 +46,11 @@ def _rich_split(t):
     return sampling.split(store.write_stage(rows, store.shared_dir(t.spark)), "row_key")
 
 
+def _basic_split(t):
+    rows = pricing.train_table(_standard(t), ["listing_id"])
+    return sampling.split(store.write_stage(rows, store.shared_dir(t.spark)), "listing_id")
+
+
 @query(
     "L1_train_table",
     f"""SELECT listing_id, city, zip_code, district, nullif(lower(`condition`), '') AS `condition`,
@@ -86,7 +91,7 @@ RICH_ROWS = "SELECT listing_id, baseRent AS rent_cold FROM fx_listings WHERE bas
 
 @query("L2_fit_basic", _tried(BASIC_ROWS))
 def l2(t):
-    train, test = sampling.split(pricing.train_table(_standard(t), ["listing_id"]), "listing_id")
+    train, test = _basic_split(t)
     model = pricing.fit_basic(train, TREES, DEPTH)
     return _judged(pricing.evaluate(model, test, store.shared_dir(t.spark)), train, test)
 
@@ -205,7 +210,7 @@ def l7_rule(t):
 
 @query("L7_suggest_rent", _in_range(BASIC_ROWS, "id AS unit_id") + " FROM fx_units")
 def l7(t):
-    train, _ = sampling.split(pricing.train_table(_standard(t), ["listing_id"]), "listing_id")
+    train, _ = _basic_split(t)
     model = pricing.fit_basic(train, TREES, DEPTH)
     suggested = pricing.suggest_rent(t.fx("units"), t.fx("properties"), model)
     return _ranged(suggested, train, "suggested_rent")

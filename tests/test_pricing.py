@@ -199,7 +199,7 @@ def test_medians_leave_nothing_in_memory_for_the_fit(spark):
         assert not owner._kept
 
 
-@pytest.mark.parametrize("split", ["_rich_split"])
+@pytest.mark.parametrize("split", ["_rich_split", "_basic_split"])
 def test_rows_of_the_model_queries_are_cleaned_once(spark, split):
     """Fit and scores read a stage, not the listings with all their joins again."""
     parts = getattr(models, split)(Tables(spark, "/root/testdata/sf0.001"))
